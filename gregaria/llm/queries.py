@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gregaria.llm.mixing import Mix, mix_sources
+from gregaria.llm.stuffing import stuffed_pages
 from gregaria.llm.tokenize import count_tokens, encode_texts
 from gregaria.llm.topn import top_n
 from gregaria.sources.scratch import Scratch
@@ -40,7 +41,16 @@ def p7_shares_of_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf, "corpus").shares
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_ids, p7_mix, p7_shares, p7_shares_of_corpus)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return stuffed_pages(read_table(spark, sf, "documents")).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of ``p8_found`` with their distance, direction and features."""
+    return stuffed_pages(read_table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p6_ids, p7_mix, p7_shares, p7_shares_of_corpus, p8_found, p8_scores)}
 
 SQL = {
     "p3_found": """
