@@ -68,7 +68,7 @@ class Graph:
 
     @cached_property
     def message_root(self) -> DataFrame:
-        """``message_id, post_id``: the post at the top of every message's thread; none where the thread has no post."""
+        """``message_id, is_post, post_id``: the post at the top of every message's thread; none where the thread has no post."""
         if "message_root" in self.tables:
             return self.tables["message_root"]
         # posts and comments may share ids, so posts stand in the forest under their complement
@@ -80,7 +80,11 @@ class Graph:
         self._held.append(forest)
         comments = forest.nodes.where("depth > 0 and root < 0").select(F.col("node").alias("message_id"), F.expr("-1 - root").alias("post_id"))
         known = self.post.select(F.col("id").alias("post_id"))
-        return comments.join(known, "post_id", "left_semi").select("message_id", "post_id").unionByName(self.post.select(F.col("id").alias("message_id"), F.col("id").alias("post_id")))
+        return (
+            comments.join(known, "post_id", "left_semi")
+            .select("message_id", F.lit(False).alias("is_post"), "post_id")
+            .unionByName(self.post.select(F.col("id").alias("message_id"), F.lit(True).alias("is_post"), F.col("id").alias("post_id")))
+        )
 
     def derived(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in DERIVED}

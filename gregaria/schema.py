@@ -33,7 +33,7 @@ BASE = VERTICES | EDGES
 DERIVED = {
     "friends": "p1 bigint, p2 bigint, creation_ms bigint, weight double",
     "member_posts": "forum_id bigint, person_id bigint, join_ms bigint, posts bigint",
-    "message_root": "message_id bigint, post_id bigint",
+    "message_root": "message_id bigint, is_post boolean, post_id bigint",
 }
 #: The column by which a snapshot clusters each large table, so that point reads skip most row groups.
 CLUSTER = {
