@@ -52,19 +52,23 @@ def parent_intervals(parents: dict[str, DataFrame], removals: DataFrame) -> Data
 def broken_references(references: DataFrame, parents: DataFrame, hot_share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
     """The rows of ``references`` that name no valid parent, with ``fault``: missing, deleted or late.
 
-    ``references``: ``kind, key, record_id, seen_at`` and any further columns;
+    ``references``: ``kind, key, record_id, seen_at`` and any further columns,
+    which come out as they are (but for one named ``fault``, which is replaced);
     ``seen_at`` is the first arrival of the referring record. A null or -1 key
     is no reference. A parent with null ``valid_from`` is never late, nor is a
-    reference with null ``seen_at``. Repeated references are all kept.
+    reference with null ``seen_at``. Repeated references are all kept. An
+    empty table of parents leaves every reference missing.
     """
-    whole = references.where(given(F.col("key")))
-    hot = heavy_candidates(whole.withColumn("named", F.xxhash64("kind", "key")), "named", hot_share)
-    left = salted(whole.withColumn("named", F.xxhash64("kind", "key")), hot, "named", F.col("record_id"), salts).drop("named")
-    right = copied_to_salts(parents.withColumn("named", F.xxhash64("kind", "key")), hot, "named", salts).drop("named")
-    merged = left.join(right.withColumn("found", F.lit(True)).hint("merge"), ["kind", "key", "salt"], "left")
+    columns = [c for c in references.columns if c != "fault"]
+    named = F.xxhash64("kind", "key").alias("named")
+    whole = references.where(given(F.col("key"))).select(named, "kind", "key", "record_id", F.struct(*columns).alias("row"))
+    hot = heavy_candidates(whole, "named", hot_share)
+    left = salted(whole, hot, "named", F.col("record_id"), salts)
+    right = copied_to_salts(parents.select(named, "kind", "key", "valid_from", "removed", F.lit(True).alias("found")), hot, "named", salts).drop("named")
+    merged = left.join(right.hint("merge"), ["kind", "key", "salt"], "left")
     fault = (
         F.when(F.col("found").isNull(), "missing")
         .when(F.col("removed"), "deleted")
-        .when(F.col("valid_from") > F.col("seen_at"), "late")
+        .when(F.col("valid_from") > F.col("row.seen_at"), "late")
     )
-    return merged.withColumn("fault", fault).where(F.col("fault").isNotNull()).drop("salt", "found", "removed", "valid_from")
+    return merged.select("row.*", fault.alias("fault")).where(F.col("fault").isNotNull())

@@ -42,7 +42,7 @@ def heavy_keys(rows: DataFrame, key: str, share: float) -> DataFrame:
     """Columns ``key``, ``n_rows``, ``total``: the keys that hold at least ``share``, counted exactly."""
     candidates = heavy_candidates(rows, key, share)
     counted = (
-        rows.join(F.broadcast(candidates), key)
+        rows.select(key).join(F.broadcast(candidates), key)
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("n_rows"), F.max("total").alias("total"))
     )
@@ -69,8 +69,10 @@ def skew_join(rows: DataFrame, lookup: DataFrame, key: str, share: float) -> Dat
 
     Heavy keys meet their lookup rows (at most ``2 / share``) by broadcast
     join where the rows lie; the rest is shuffled as usual. Null keys match
-    nothing and keep their row.
+    nothing and keep their row. Columns of ``lookup`` whose names ``rows`` has
+    too come out with ``_lookup`` behind the name.
     """
+    lookup = lookup.withColumnsRenamed({c: f"{c}_lookup" for c in lookup.columns if c != key and c in rows.columns})
     hot_keys = heavy_candidates(rows, key, share).select(key)
     hot_lookup = lookup.join(F.broadcast(hot_keys), key, "left_semi")
     hot = rows.join(F.broadcast(hot_keys), key, "left_semi").join(F.broadcast(hot_lookup), key, "left")

@@ -7,13 +7,17 @@ the last version in place, and readers keep the one they opened.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gregaria.graph import Graph
 from gregaria.schema import BASE, CLUSTER, DERIVED
 
 
+WRITERS = 6
+
+
 def _fs(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
@@ -45,9 +49,14 @@ def save(graph: Graph, root: str) -> Graph:
     spark = graph.spark
     version = (versions(spark, root) or [0])[-1] + 1
     path = f"{root}/v{version}"
-    for name in [*BASE, *DERIVED]:
-        table = getattr(graph, name) if name in DERIVED else graph.tables[name]
-        _clustered(table, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    def write(tables: dict[str, DataFrame]) -> None:
+        with ThreadPoolExecutor(WRITERS) as pool:  # several small jobs at once
+            list(pool.map(lambda item: _clustered(item[1], item[0]).write.mode("overwrite").parquet(f"{path}/{item[0]}"), tables.items()))
+
+    write({name: graph.tables[name] for name in BASE})
+    stored = Graph(spark, {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in BASE.items()})
+    write(stored.derived())
     fs, marker = _fs(spark, f"{path}/_COMPLETE")
     fs.create(marker, True).close()
     return open_version(spark, root, version)
