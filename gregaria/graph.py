@@ -8,9 +8,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gregaria.functions.values import reply_weight
 from gregaria.operators.hierarchy import Forest, resolve_forest
+from gregaria.operators.skew import skew_join
 from gregaria.schema import BASE, DERIVED
 
+HOT_SHARE = 1 / 64
+
 
 def member_posts(members: DataFrame, posts: DataFrame) -> DataFrame:
     """Memberships with the number of posts of that person in that forum, at any date; 0 if none."""
@@ -20,9 +24,11 @@ def member_posts(members: DataFrame, posts: DataFrame) -> DataFrame:
 
 def reply_weights(posts: DataFrame, comments: DataFrame) -> DataFrame:
     """``a, b, weight`` for pairs with direct replies either way: 1.0 for one to a post, 0.5 to a comment."""
-    author = F.col("creator_id").alias("author")
-    to_posts = comments.where("reply_of_post is not null").join(posts.select(F.col("id").alias("reply_of_post"), author), "reply_of_post").select("creator_id", "author", F.lit(1.0).alias("weight"))
-    to_comments = comments.where("reply_of_post is null").join(comments.select(F.col("id").alias("reply_of_comment"), author), "reply_of_comment").select("creator_id", "author", F.lit(0.5).alias("weight"))
+    answered = lambda rows, parents, key: skew_join(
+        rows.select(key, "creator_id"), parents.select(F.col("id").alias(key), F.col("creator_id").alias("author")).dropDuplicates([key]), key, HOT_SHARE
+    ).where("author is not null")
+    to_posts = answered(comments.where("reply_of_post is not null"), posts, "reply_of_post").select("creator_id", "author", reply_weight(F.lit(True)).alias("weight"))
+    to_comments = answered(comments.where("reply_of_post is null and reply_of_comment is not null"), comments, "reply_of_comment").select("creator_id", "author", reply_weight(F.lit(False)).alias("weight"))
     return to_posts.unionByName(to_comments).groupBy(F.least("creator_id", "author").alias("a"), F.greatest("creator_id", "author").alias("b")).agg(F.sum("weight").alias("weight"))
 
 

@@ -24,8 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gregaria.operators.skew import skew_join
 from gregaria.sources.scratch import Scratch
 
+HOT_SHARE = 1 / 64
 CORE_ROWS = 100_000
 RAKED, SPLICED, KEPT, CIRCLE = 0, 1, 2, 3
 
@@ -202,9 +204,9 @@ def _with_circles(core: DataFrame, loops: DataFrame, with_path: bool) -> DataFra
 
 
 def _expand(removed: DataFrame, known: DataFrame, with_path: bool) -> DataFrame:
-    """Nodes removed in one round, resolved from the parents that outlived it; a parent without a row is a root."""
+    """Nodes removed in one round, resolved from the parents that outlived it; a parent without a row is a root, and one with a large share of the children no bottleneck."""
     above = known.select("tree", F.col("node").alias("parent"), "root", F.col("depth").alias("above"), *(["path"] if with_path else []))
-    joined = removed.join(above, ["tree", "parent"], "left")
+    joined = skew_join(removed, above, ["tree", "parent"], HOT_SHARE)
     depth = F.when(F.col("above") < 0, F.lit(-1)).otherwise(F.coalesce("above", F.lit(0)) + F.col("steps"))
     path = F.concat(F.when(F.col("root").isNull(), F.array("parent")).otherwise(F.col("path")), "via", F.array("node"))
     return joined.select("tree", "node", F.coalesce("root", "parent").alias("root"), depth.alias("depth"), *([path.alias("path")] if with_path else []))

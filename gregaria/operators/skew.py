@@ -15,6 +15,7 @@ candidates, whatever the input's size.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,20 +65,27 @@ def per_key(rows: DataFrame, key: str, aggregates: Sequence[Column], share: floa
     return hot.withColumn("is_heavy", F.lit(True)).unionByName(cold.withColumn("is_heavy", F.lit(False)))
 
 
-def skew_join(rows: DataFrame, lookup: DataFrame, key: str, share: float) -> DataFrame:
+def skew_join(rows: DataFrame, lookup: DataFrame, key: str | Sequence[str], share: float) -> DataFrame:
     """Left join of ``rows`` with ``lookup`` (at most one row a key), without one task taking a heavy key.
 
-    Heavy keys meet their lookup rows (at most ``2 / share``) by broadcast
-    join where the rows lie; the rest is shuffled as usual. Null keys match
-    nothing and keep their row. Columns of ``lookup`` whose names ``rows`` has
-    too come out with ``_lookup`` behind the name.
+    Heavy keys meet their lookup rows by broadcast join where the rows lie (one
+    row each, so at most ``2 / share`` but for keys of equal hash); the rest is
+    shuffled as usual. Keys with a null match nothing and keep their row.
+    Columns of ``lookup`` whose names ``rows`` has too come out with
+    ``_lookup`` behind the name.
     """
-    lookup = lookup.withColumnsRenamed({c: f"{c}_lookup" for c in lookup.columns if c != key and c in rows.columns})
-    hot_keys = heavy_candidates(rows, key, share).select(key)
-    hot_lookup = lookup.join(F.broadcast(hot_keys), key, "left_semi")
-    hot = rows.join(F.broadcast(hot_keys), key, "left_semi").join(F.broadcast(hot_lookup), key, "left")
-    cold = rows.join(F.broadcast(hot_keys), key, "left_anti").join(lookup, key, "left")
-    return hot.unionByName(cold)
+    keys = [key] if isinstance(key, str) else list(key)
+    whole = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))
+    mark = "_key_hash"
+    hashed = lambda df: df.withColumn(mark, F.when(whole, F.xxhash64(*keys)))
+    lookup = lookup.withColumnsRenamed({c: f"{c}_lookup" for c in lookup.columns if c not in keys and c in rows.columns})
+    rows, lookup = hashed(rows), hashed(lookup)
+    hot_keys = F.broadcast(heavy_candidates(rows, mark, share).select(mark))
+    hot_lookup = lookup.join(hot_keys, mark, "left_semi").drop(mark)
+    hot = rows.join(hot_keys, mark, "left_semi").join(F.broadcast(hot_lookup), keys, "left")
+    cold = rows.join(hot_keys, mark, "left_anti").join(lookup.drop(mark), keys, "left")
+    columns = [c for c in rows.columns if c != mark] + [c for c in lookup.columns if c not in keys and c != mark]
+    return hot.select(columns).unionByName(cold.select(columns))
 
 
 def salted(rows: DataFrame, hot: DataFrame, key: str, spread_by: Column, salts: int) -> DataFrame:

@@ -12,6 +12,7 @@ from gregaria.operators.skew import per_key, skew_join
 from gregaria.sources.tables import read_table
 
 HEAVY_SHARE = 1 / 40
+HOT_SHARE = 1 / 64
 
 
 def records(rows: DataFrame, *columns: str) -> DataFrame:
@@ -107,7 +108,7 @@ def tree_links(spark: SparkSession, sf: str) -> DataFrame:
         .select(F.col("id").alias("node"), F.when(by_comment, F.col("replyofcomment")).otherwise(F.col("replyofpost")).alias("wanted"), (~by_comment).alias("wants_post"))
     )
     there = rows.where("id is not null and ispost is not null").select(F.col("id").alias("wanted"), F.col("ispost").alias("wants_post")).distinct()
-    messages = messages.join(there.withColumn("parent", F.col("wanted")), ["wanted", "wants_post"], "left").select(F.lit("message").alias("tree"), "node", "parent")
+    messages = skew_join(messages, there.withColumn("parent", F.col("wanted")), ["wanted", "wants_post"], HOT_SHARE).select(F.lit("message").alias("tree"), "node", "parent")
     place = read_table(spark, sf, "place")
     places = place.where(given(F.col("ispartof"))).groupBy(F.col("id").alias("node")).agg(F.min("ispartof").alias("wanted"))
     known = place.select(F.col("id").alias("wanted")).distinct().withColumn("parent", F.col("wanted"))
