@@ -27,6 +27,7 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO_FRAGMENTS = 400_000
 MEMO_BYTES = 48
+BLOCK_BYTES = 1 << 20
 
 
 def certain_cuts(vocabulary: list[bytes]) -> np.ndarray:
@@ -52,10 +53,18 @@ class Encoder:
         self.cuts = certain_cuts(list(ranks))
         self.memo: dict[bytes, list[int]] = {}
 
-    def fragments(self, data: bytes) -> list[bytes]:
-        at = np.frombuffer(data, np.uint8).astype(np.uint16)
-        ends = (np.flatnonzero(self.cuts[(at[:-1] << 8) | at[1:]]) + 1).tolist()
-        return [data[i:j] for i, j in zip([0, *ends], [*ends, len(data)])]
+    def fragments(self, data: bytes) -> Iterator[list[bytes]]:
+        """The text's fragments in turn, a bounded number at a time, so that a very long text needs no more memory than its bytes and ids."""
+        at = np.frombuffer(data, np.uint8)
+        start = 0
+        for low in range(0, len(data), BLOCK_BYTES):
+            part = at[low : low + BLOCK_BYTES + 1].astype(np.uint16)
+            ends = (np.flatnonzero(self.cuts[(part[:-1] << 8) | part[1:]]) + (low + 1)).tolist()
+            if ends:
+                yield [data[i:j] for i, j in zip([start, *ends], ends)]
+                start = ends[-1]
+        if start < len(data):
+            yield [data[start:]]
 
     def _ids(self, fragment: bytes) -> list[int]:
         ids = self.plain(fragment.decode("utf-8", "replace"))
@@ -71,8 +80,8 @@ class Encoder:
         if not data:
             return np.empty(0, np.int32)
         known, ids = self.memo.get, self._ids
-        parts = [known(f) or ids(f) for f in self.fragments(data)]
-        return np.fromiter(chain.from_iterable(parts), np.int32)
+        parts = [np.fromiter(chain.from_iterable([known(f) or ids(f) for f in block]), np.int32) for block in self.fragments(data)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 @lru_cache(maxsize=2)

@@ -35,7 +35,19 @@ def test_any_text(text):
 def test_fragments_are_cut_and_joined():
     e = encoder(BYTE_BPE)
     text = "one two  three\n\nfour's é中 five"
-    assert b"".join(e.fragments(text.encode())).decode() == text and len(e.fragments(text.encode())) > 4
+    parts = [f for block in e.fragments(text.encode()) for f in block]
+    assert b"".join(parts).decode() == text and len(parts) > 4
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64])
+def test_blocks_of_any_size(monkeypatch, whole, size):
+    import gregaria.llm.tokenize as m
+
+    monkeypatch.setattr(m, "BLOCK_BYTES", size)
+    r, encode = random.Random(size), encoder(BYTE_BPE).encode
+    for _ in range(300):
+        text = "".join(r.choices(PIECES, k=r.randint(0, 9)))
+        assert encode(text).tolist() == whole(text), text
 
 
 def test_long_texts(whole):
