@@ -70,7 +70,7 @@ class _Search:
     def __init__(self, edges: DataFrame, a: int, b: int, max_hops: int | None):
         spark = edges.sparkSession
         self.edges, self.scratch = edges, Scratch(spark, "search")
-        self.levels = {end: [spark.createDataFrame([(v,)], "id bigint")] for end, v in (("from", a), ("to", b))}
+        self.levels = {end: [spark.range(1).select(F.lit(v).cast("bigint").alias("id"))] for end, v in (("from", a), ("to", b))}
         self.length = -1
         sizes = {"from": 1, "to": 1}
         hops = 0
@@ -83,12 +83,12 @@ class _Search:
             step = neighbours(edges, self.levels[end][-1]).join(seen, "id", "left_anti")
             step = self.scratch.write(step, f"{end}{len(self.levels[end])}")
             self.levels[end].append(step)
-            sizes[end] = step.count()
-            if not sizes[end]:
-                return
             # the other side's last level is the only one that a new vertex can lie on
-            if not step.join(self.levels[other][-1], "id", "left_semi").isEmpty():
+            met = step.join(self.levels[other][-1].withColumn("met", F.lit(1)), "id", "left")
+            sizes[end], hits = met.agg(F.count(F.lit(1)), F.count("met")).first()
+            if hits:
                 self.length = hops
+            if hits or not sizes[end]:
                 return
 
 
@@ -117,7 +117,8 @@ def all_shortest_paths(edges: DataFrame, a: int, b: int, max_hops: int | None =
         on_way[i] = search.scratch.write(forward[i].join(neighbours(edges, on_way[i + 1]), "id", "left_semi"), f"way{i}")
     for i in range(meet + 1, search.length + 1):
         on_way[i] = search.scratch.write(backward[search.length - i].join(neighbours(edges, on_way[i - 1]), "id", "left_semi"), f"way{i}")
-    paths = spark.createDataFrame([(a, [a], 0.0)], "last bigint, path array<bigint>, weight double")
+    start = F.lit(a).cast("bigint")
+    paths = spark.range(1).select(start.alias("last"), F.array(start).alias("path"), F.lit(0.0).alias("weight"))
     for i in range(1, search.length + 1):
         ways = edges.join(on_way[i].select(F.col("id").alias("p2")), "p2", "left_semi").select("p1", "p2", F.col("weight").alias("step"))
         paths = paths.join(ways, F.col("last") == F.col("p1")).select(F.col("p2").alias("last"), F.array_append("path", F.col("p2")).alias("path"), (F.col("weight") + F.col("step")).alias("weight"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from gregaria.graph import Graph
 from gregaria.operators import relational, traversal
+from gregaria.plans import batch_reads as b
 from gregaria.plans import complex_reads as c
 from gregaria.plans import short_reads as s
 from gregaria.plans.updates import REQUESTS, apply_updates
@@ -150,6 +151,11 @@ PLANS: dict[str, Callable[[SparkSession, Graph], DataFrame]] = {
     "union_message": lambda x, g: g.message.select("id", "is_post", "creator_id", "creation_ms"),
     "cond_count": lambda x, g: g.message.groupBy("creator_id").agg(relational.count_if(F.col("country_id") == 1000).alias("x_count"), relational.count_if(F.col("country_id") == 1001).alias("y_count")).where("x_count > 0 and y_count > 0"),
     "collect_sorted": lambda x, g: flat(relational.sorted_lists(g.work_at, "person_id", ["org_id", "work_from"], {"orgs": "org_id", "years": "work_from"})),
+    "all_ic2": lambda x, g: b.latest_messages(g, 1, _ms("2000-01-01"), 20),
+    "all_ic5": lambda x, g: b.new_forums(g, _ms("1998-01-01"), 20),
+    "all_ic7": lambda x, g: b.latest_likers(g, 20),
+    "all_ic8": lambda x, g: b.latest_replies(g, 20),
+    "all_ic9": lambda x, g: b.latest_messages(g, 2, _ms("2000-01-01"), 20),
     "person_table": lambda x, g: flat(g.person), "place_table": lambda x, g: g.place, "org_table": lambda x, g: g.org, "tag_table": lambda x, g: g.tag,
     "tagclass_table": lambda x, g: g.tagclass, "forum_table": lambda x, g: g.forum, "post_table": lambda x, g: g.post, "comment_table": lambda x, g: g.comment,
     "knows_table": lambda x, g: g.knows, "likes_table": lambda x, g: g.likes, "forum_member_table": lambda x, g: g.forum_member, "post_tag_table": lambda x, g: g.post_tag,

@@ -104,7 +104,36 @@ IC1 = f"""SELECT l.id AS friend_id, last_name AS friend_last_name, level AS dist
   FROM levels AS l JOIN g_person AS p ON p.id = l.id LEFT JOIN g_place AS c ON c.id = p.city_id LEFT JOIN {_held('g_study', 'class_year', 'uni')} AS s ON s.person_id = l.id
   LEFT JOIN {_held('g_work', 'work_from', 'company')} AS w ON w.person_id = l.id WHERE first_name = 'BUILDING'"""
 
+CIRCLES = """
+near AS (SELECT DISTINCT p1 AS reader, p2 AS id FROM g_knows WHERE p1 <> p2),
+far AS (SELECT reader, id FROM near UNION SELECT a.reader, b.id FROM near AS a JOIN near AS b ON b.reader = a.id WHERE a.reader <> b.id),
+"""
+
+
+def _each(body: str, order: str, limit: int = 20) -> str:
+    """``body`` as the table t, the first rows of each reader with their rank."""
+    return _q(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY reader ORDER BY {order}) AS rank FROM ({body})) WHERE rank <= {limit}", CIRCLES)
+
+
+def _all_messages(circle: str) -> str:
+    body = f"SELECT reader, c.id AS person_id, m.id AS message_id, m.creation_ms FROM {circle} AS c JOIN g_message AS m ON m.creator_id = c.id WHERE m.creation_ms < {MS_2000}"
+    return _each(body, "creation_ms DESC, message_id")
+
+
 SQL = {
+    "all_ic2": _all_messages("near"),
+    "all_ic9": _all_messages("far"),
+    "all_ic5": _each(f"SELECT reader, forum_id, sum(posts)::BIGINT AS post_count FROM far AS c JOIN g_member_posts AS m ON m.person_id = c.id WHERE join_ms > {MS_1998} GROUP BY 1, 2", "post_count DESC, forum_id"),
+    "all_ic7": _each(
+        """SELECT reader, person_id, message_id, like_ms FROM (SELECT m.creator_id AS reader, person_id, message_id, k.creation_ms AS like_ms,
+          row_number() OVER (PARTITION BY m.creator_id, person_id ORDER BY k.creation_ms DESC, message_id) AS turn FROM g_likes AS k JOIN g_message AS m ON m.id = k.message_id AND m.is_post = k.is_post) WHERE turn = 1""",
+        "like_ms DESC, person_id",
+    ),
+    "all_ic8": _each(
+        """SELECT p.creator_id AS reader, c.creator_id AS person_id, c.creation_ms AS comment_ms, c.id AS comment_id FROM g_comment AS c JOIN g_post AS p ON p.id = c.reply_of_post
+          UNION ALL SELECT p.creator_id, c.creator_id, c.creation_ms, c.id FROM g_comment AS c JOIN g_comment AS p ON p.id = c.reply_of_comment WHERE c.reply_of_post IS NULL""",
+        "comment_ms DESC, comment_id",
+    ),
     "ic1": _top(IC1, "distance, friend_last_name, friend_id"),
     "ic2": _top(MESSAGES.format(people="h1", bound=f"<= {MS_2000}"), "creation_ms DESC, message_id"),
     "ic3": _top(
