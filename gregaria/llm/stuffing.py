@@ -45,12 +45,8 @@ FUNCTION_WORDS = frozenset(
     ve bir bu için ile da de değil
     и в на не что с по это для как но из у за от""".split()
 )
-# Words that open a line of code.
-CODE_OPENERS = frozenset(
-    """import from package use mod return goto set local const let var def class if else elif fi for while do done end break continue pass try
-    except raise catch throw throws public private protected static void int char func fn struct enum type export module require echo
-    select insert update delete create alter drop values where table begin commit async await case switch default using namespace include""".split()
-)
+# Words that open a line of code which has no sign of code in it; none that is a common noun.
+CODE_OPENERS = frozenset("import from package return goto else elif fi done end break continue pass try".split())
 
 URL = re.compile(r"(?:https?|ftp)://([^\s/\"'<>\])]+)[^\s\"'<>\])]*")
 ANCHOR = re.compile(r"<a\b[^>]*?href\s*=\s*[\"']?((?:https?|ftp)://[^\s\"'>]+)[\"']?[^>]*>(.*?)</a>", re.I | re.S)
@@ -60,7 +56,7 @@ BB_LINK = re.compile(r"\[url=((?:https?|ftp)://[^\]]+)\](.*?)\[/url\]", re.I)
 MD_LINK = re.compile(r"\[([^\[\]]*)\]\(((?:https?|ftp)://[^\s()]+)\)")
 JSON_JOINT = re.compile(r"\{\"|\"\}|\": \"|\", \"")
 LEAD = re.compile(r"^(?:[\s>*•+\-]|//+|/\*+|--|#+(?=\s)|\"{3}|'{3}|<!--|\d+[.)]\s)+|(?:\*/|-->|\"{3}|'{3}|\s)+$")
-CODE = re.compile(r"[{}()=<>$\\\"`_\[\]~^]|[;:]$|\w\.\w+\.\w|::|\s:|^\S+:\s|&&|^\s*@|\+\+|[.#]\w[\w-]*\s*,")
+CODE = re.compile(r"[{}()=<>$\\\"`_\[\]~^]|[;:]$|\w\.\w+\.\w|::|\s:|^\S+:\s|&&|^\s*@|\+\+|[.#]\w[\w-]*\s*,|(?:^|\s)--?[a-zA-Z]")
 WORD = re.compile(r"[^\W\d_]+")
 HASHTAGS = re.compile(r"(?:#[^\s#]*[^\W\d][^\s#]*\s*)+")
 DIRECTIVE = re.compile(r"#(?:end\w*|else|if\w*|define|include|pragma|undef|error|line|region)\b")
@@ -152,8 +148,9 @@ def profile(text: str | None) -> tuple[float, ...]:
             continue
         units = [u for u in SPLIT.split(line) if u]
         named = [n for n in (len(WORD.findall(u)) for u in units) if n]
-        if len(named) >= 0.8 * len(units) and max(named) <= 8:
-            lists.append((size, words, len(units)))
+        strung = max(named) > 8 and f <= 0.03 * len(words)  # phrases in a row, with nothing between
+        if len(named) >= 0.8 * len(units) and (strung or max(named) <= 8):
+            lists.append((size, words, max(len(units), len(words) // 4)))
         else:
             prose.append(line)
 

@@ -18,7 +18,9 @@ def url(r):
 
 
 def spam(r):
-    kind = r.randrange(9)
+    kind = r.randrange(10)
+    if kind == 9:
+        return phrases(r, 40, " ")
     if kind == 0:
         return phrases(r, 40, ", ")
     if kind == 1:
