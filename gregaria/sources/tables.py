@@ -8,3 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The table ``name`` below ``directory``: one parquet file or a folder of them."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` for work that takes long a row: dealt out to all cores if they lie in fewer splits, else as they are.
+
+    Only a table of fewer splits than cores is shuffled, so the shuffle is
+    bounded by the cluster's size, not the table's.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    splits = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    return rows.repartition(cores) if splits < cores else rows
