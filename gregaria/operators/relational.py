@@ -23,7 +23,12 @@ def with_rank(rows: DataFrame, order: Sequence[Column], limit: int | None) -> Da
     top = top_k(rows, order, limit)
     if limit is None:
         return top
-    return top.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("bigint")).orderBy("rank")
+    return in_order(top.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("bigint")), [F.col("rank")], limit)
+
+
+def in_order(rows: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
+    """Sorted rows; where a limit bounds their number in one task, without the sampling and exchange of a full sort."""
+    return rows.orderBy(*order) if limit is None else rows.coalesce(1).sortWithinPartitions(*order)
 
 
 def arg_max(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gregaria.functions.values import DAY_MS, born_around, minutes_between, ms_of_date, shown_content
 from gregaria.graph import Graph
-from gregaria.operators.relational import arg_max, count_if, mark, semi, sorted_lists, top_k, with_rank
+from gregaria.operators.relational import arg_max, count_if, in_order, mark, semi, sorted_lists, top_k, with_rank
 from gregaria.operators.traversal import all_shortest_paths, bfs_levels, descend, first_step, multihop, ring, shortest_path
 
 asc, desc = (lambda c: F.col(c).asc()), (lambda c: F.col(c).desc())
@@ -45,14 +45,14 @@ def ic1(g: Graph, person_id: int, first_name: str, limit: int | None = 20) -> Da
     out = top.join(g.place.select(F.col("id").alias("city_id"), F.col("name").alias("city_name")), "city_id", "left").drop("city_id")
     out = out.join(held(g.study_at, "class_year", "uni"), "friend_id", "left").join(held(g.work_at, "work_from", "company"), "friend_id", "left")
     empty = {f"{p}_{c}": F.coalesce(f"{p}_{c}", F.array().cast("array<int>" if c == "year" else "array<string>")) for p in ("uni", "company") for c in ("name", "year", "city")}
-    return out.withColumns(empty).orderBy(*order)
+    return in_order(out.withColumns(empty), order, limit)
 
 
 def _latest_messages(g: Graph, people: DataFrame, when, limit: int | None) -> DataFrame:
     messages = semi(g.message.where(when).withColumnRenamed("creator_id", "person_id"), people.withColumnRenamed("id", "person_id"), "person_id")
     rows = messages.select("person_id", F.col("id").alias("message_id"), shown_content(F.col("content"), F.col("image_file")).alias("content"), "creation_ms")
     order = [desc("creation_ms"), asc("message_id")]
-    return _named(g, with_rank(rows, order, limit)).orderBy(*order)
+    return in_order(_named(g, with_rank(rows, order, limit)), order, limit)
 
 
 def ic2(g: Graph, person_id: int, max_ms: int, limit: int | None = 20) -> DataFrame:
@@ -74,7 +74,7 @@ def ic3(g: Graph, person_id: int, country_x: str, country_y: str, start_ms: int,
     ).where("x_count > 0 and y_count > 0")
     rows = counts.select(F.col("id").alias("person_id"), "x_count", "y_count", (F.col("x_count") + F.col("y_count")).alias("count"))
     order = [desc("x_count"), asc("person_id")]
-    return _named(g, with_rank(rows, order, limit)).orderBy(*order)
+    return in_order(_named(g, with_rank(rows, order, limit)), order, limit)
 
 
 def ic4(g: Graph, person_id: int, start_ms: int, days: int, limit: int | None = 20) -> DataFrame:
@@ -91,7 +91,7 @@ def ic5(g: Graph, person_id: int, min_ms: int, limit: int | None = 20) -> DataFr
     joined = semi(g.member_posts.where(F.col("join_ms") > min_ms).withColumnRenamed("person_id", "id"), multihop(g.knows, person_id, 2), "id")
     rows = joined.groupBy("forum_id").agg(F.sum("posts").cast("int").alias("post_count"))
     order = [desc("post_count"), asc("forum_id")]
-    return with_rank(rows, order, limit).join(g.forum.select(F.col("id").alias("forum_id"), F.col("title").alias("forum_title")), "forum_id").orderBy(*order)
+    return in_order(with_rank(rows, order, limit).join(g.forum.select(F.col("id").alias("forum_id"), F.col("title").alias("forum_title")), "forum_id"), order, limit)
 
 
 def ic6(g: Graph, person_id: int, tag_name: str, limit: int | None = 20) -> DataFrame:
@@ -116,10 +116,11 @@ def ic7(g: Graph, person_id: int, limit: int | None = 20) -> DataFrame:
     order = [desc("like_ms"), asc("person_id")]
     top = mark(with_rank(latest, order, limit), first_step(g.knows, person_id).withColumnRenamed("id", "person_id"), "person_id", "is_friend")
     rows = _named(g, top)
-    return rows.select(
+    out = rows.select(
         "person_id", "first_name", "last_name", "like_ms", "message_id", "content", minutes_between(F.col("sent_ms"), F.col("like_ms")).alias("minutes_latency"),
         (~F.col("is_friend")).alias("is_new"), *_rank(rows, limit),
-    ).orderBy(*order)
+    )
+    return in_order(out, order, limit)
 
 
 def ic8(g: Graph, person_id: int, limit: int | None = 20) -> DataFrame:
@@ -130,7 +131,7 @@ def ic8(g: Graph, person_id: int, limit: int | None = 20) -> DataFrame:
     # a comment that names both a post and a comment answers the post
     rows = own(semi(g.comment, posts, "reply_of_post")).unionByName(own(semi(g.comment.where("reply_of_post is null"), comments, "reply_of_comment")))
     order = [desc("comment_ms"), asc("comment_id")]
-    return _named(g, with_rank(rows, order, limit)).orderBy(*order)
+    return in_order(_named(g, with_rank(rows, order, limit)), order, limit)
 
 
 def ic9(g: Graph, person_id: int, max_ms: int, limit: int | None = 20) -> DataFrame:
@@ -150,7 +151,7 @@ def ic10(g: Graph, person_id: int, month: int, limit: int | None = 10) -> DataFr
     )
     order = [desc("common_interest_score"), asc("person_id")]
     cities = g.place.select(F.col("id").alias("city_id"), F.col("name").alias("city_name"))
-    return with_rank(rows, order, limit).join(cities, "city_id", "left").drop("city_id").orderBy(*order)
+    return in_order(with_rank(rows, order, limit).join(cities, "city_id", "left").drop("city_id"), order, limit)
 
 
 def ic11(g: Graph, person_id: int, country: str, before_year: int, limit: int | None = 10) -> DataFrame:
@@ -161,7 +162,7 @@ def ic11(g: Graph, person_id: int, country: str, before_year: int, limit: int |
     mine = semi(jobs.withColumnRenamed("person_id", "id"), multihop(g.knows, person_id, 2), "id")
     rows = mine.select(F.col("id").alias("person_id"), "organization_name", "work_from").distinct()
     order = [asc("work_from"), asc("person_id"), desc("organization_name")]
-    return _named(g, with_rank(rows, order, limit)).orderBy(*order)
+    return in_order(_named(g, with_rank(rows, order, limit)), order, limit)
 
 
 def tags_below(g: Graph, class_name: str) -> DataFrame:
@@ -179,7 +180,7 @@ def ic12(g: Graph, person_id: int, class_name: str, limit: int | None = 20) -> D
     hits = mine.join(semi(g.post_tag, tags, "tag_id"), "post_id").join(g.tag.select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name")), "tag_id")
     counts = hits.groupBy("id").agg(F.array_sort(F.collect_set("tag_name")).alias("tag_names"), F.count_distinct("comment_id").cast("int").alias("reply_count"))
     order = [desc("reply_count"), asc("person_id")]
-    return _named(g, with_rank(counts.withColumnRenamed("id", "person_id"), order, limit)).orderBy(*order)
+    return in_order(_named(g, with_rank(counts.withColumnRenamed("id", "person_id"), order, limit)), order, limit)
 
 
 def _both_known(g: Graph, a: int, b: int) -> bool:

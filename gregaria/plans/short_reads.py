@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gregaria.functions.values import ms_of_date, shown_content
 from gregaria.graph import Graph
-from gregaria.operators.relational import arg_max, mark, semi, top_k, with_rank
+from gregaria.operators.relational import arg_max, in_order, mark, semi, top_k, with_rank
 
 
 def _names(g: Graph, key: str, prefix: str = "") -> DataFrame:
@@ -35,7 +35,7 @@ def is2(g: Graph, person_id: int, limit: int | None = 10) -> DataFrame:
     roots = top.join(g.message_root.withColumnRenamed("post_id", "original_post_id"), ["message_id", "is_post"], "left")
     authors = g.post.select(F.col("id").alias("original_post_id"), F.col("creator_id").alias("original_post_author_id"))
     out = roots.join(authors, "original_post_id", "left").join(_names(g, "original_post_author_id", "original_post_author_"), "original_post_author_id", "left")
-    return out.drop("is_post").orderBy(*order)
+    return in_order(out.drop("is_post"), order, limit)
 
 
 def is3(g: Graph, person_id: int) -> DataFrame:
