@@ -164,13 +164,16 @@ class Forest:
 def resolve_forest(edges: DataFrame, with_path: bool = False, core_rows: int = CORE_ROWS) -> Forest:
     """Root and depth, and if wanted the path from the root, of every node with a parent.
 
-    ``edges``: ``tree, node, parent``, at most one row a node and no nulls. A
-    node named only as a parent is a root and gets no row. Nodes on or below a
-    circle get root and depth -1 and a null path. An empty input gives no rows.
+    ``edges``: ``tree, node, parent`` and any other columns. Rows with a null
+    in one of the three are left out, repeated ones count once, and of several
+    parents of a node the largest counts. A node named only as a parent is a
+    root and gets no row. Nodes on or below a circle get root and depth -1 and
+    a null path. An empty input gives no rows.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "forest")
-    start = edges.select("tree", "node", "parent", F.lit(1).alias("steps"), *([F.array().cast("array<bigint>").alias("via")] if with_path else []))
+    single = edges.where("tree is not null and node is not null and parent is not null").groupBy("tree", "node").agg(F.max("parent").alias("parent"))
+    start = single.select("tree", "node", "parent", F.lit(1).alias("steps"), *([F.array().cast("array<bigint>").alias("via")] if with_path else []))
     current = scratch.write(start, "edges")
     left = current.count()
     rounds: list[DataFrame] = []

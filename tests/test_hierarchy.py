@@ -56,6 +56,13 @@ def test_trees_do_not_mix_and_extra_columns_do_no_harm(spark, rows):
     assert rows(resolve_forest(edges).nodes) == [("a", 1, 2, 1), ("b", 1, 9, 1), ("b", 2, 9, 2)]
 
 
+@pytest.mark.parametrize("core_rows", [0, 100])
+def test_repeated_rows_nulls_and_several_parents(spark, rows, core_rows):
+    edges = [("t", 1, 2), ("t", 1, 2), ("t", 2, 3), ("t", 3, 9), ("t", 3, 4), (None, 5, 6), ("t", None, 6), ("t", 6, None)]
+    df = spark.createDataFrame(edges, "tree string, node bigint, parent bigint")
+    assert rows(resolve_forest(df, core_rows=core_rows).nodes) == [("t", 1, 9, 3), ("t", 2, 9, 2), ("t", 3, 9, 1)]
+
+
 def test_star_and_empty(spark):
     star = spark.range(1, 5001).selectExpr("'t' as tree", "id as node", "0L as parent")
     assert resolve_forest(star, core_rows=0).nodes.where("root = 0 and depth = 1").count() == 5000
