@@ -102,7 +102,8 @@ def _round(chosen: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
     def inner(frame: pd.DataFrame) -> pd.DataFrame:
         return rows(frame.sort_values("node", kind="stable"), int(frame["parent"].iloc[0]))
 
-    level = scratch.write(chosen.withColumn("node", F.spark_partition_id().cast("bigint")).mapInPandas(leaves, _OUT), "leaves")
+    ordered = chosen.sortWithinPartitions("doc_id").withColumn("node", F.spark_partition_id().cast("bigint"))  # the same choice each time
+    level = scratch.write(ordered.mapInPandas(leaves, _OUT), "leaves")
     is_open = (F.col("fraction") > 0) & (F.col("fraction") < 1)
     settled, residual = [level.where(~is_open)], level.where(is_open)
     nodes = (level.agg(F.max("node")).first()[0] or 0) + 1
@@ -122,15 +123,16 @@ def _round(chosen: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
 def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float | str | None = None, seed: int = 7) -> Mix:
     """Documents with their number of uses so that each source has its share of all tokens.
 
-    ``documents``: ``doc_id, source, n_tokens`` with unique ids; ``targets``:
+    ``documents``: ``doc_id, source, n_tokens``; ``targets``:
     ``source, target_share, max_repeats``. ``total_tokens`` is the wanted total;
     by default the largest one at which no source with any tokens needs more
     than its repeats, and ``"corpus"`` stands for the tokens of all listed
     sources once. A source that cannot reach its share of that total within
     its repeats is used up and reported with ``out_of_reach``.
 
-    Documents without tokens, of a null source or of one not listed are never
-    chosen. Repeated rows of a target count once; if they disagree the larger
+    Documents without tokens or id, of a null source or of one not listed are
+    never chosen. A repeated id is one document, with its first source in
+    order and its smallest size. Repeated rows of a target count once; if they disagree the larger
     share and the smaller limit hold; a null share or limit is 0. Without
     documents or targets the mix is empty.
     """
@@ -140,7 +142,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
         .groupBy("source")
         .agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("target_share"), F.coalesce(F.min("max_repeats"), F.lit(0)).alias("max_repeats"))
     )
-    rows = documents.select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens")).where("source is not null and n_tokens > 0 and doc_id is not null")
+    whole = documents.select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens")).where("source is not null and n_tokens > 0 and doc_id is not null")
+    rows = whole.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("row")).select("doc_id", "row.*")
     sizes = rows.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     sized = wanted.join(sizes, "source", "left").fillna(0, ["available_tokens"])
     reach = F.col("max_repeats") * F.col("available_tokens")

@@ -46,11 +46,18 @@ def test_out_of_reach_is_reported(spark):
 
 def test_same_choice_each_time(spark):
     df, _ = documents(spark)
-    df = df.orderBy("doc_id").coalesce(5)
     choice = lambda seed: {r.doc_id: r.uses for r in mix_sources(df, targets(spark, TARGETS), seed=seed).uses.collect()}
     assert choice(3) == choice(3) and choice(3) != choice(4)
 
 
+def test_a_repeated_id_is_one_document(spark):
+    df, rows = documents(spark)
+    twice = mix_sources(df.unionByName(df), targets(spark, TARGETS)).uses
+    once = mix_sources(df, targets(spark, TARGETS)).uses
+    assert twice.groupBy("doc_id").count().where("count > 1").count() == 0
+    assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, once.collect()))
+
+
 def test_every_document_has_its_expected_uses(spark):
     df = spark.createDataFrame([(i, "a", 10 + 30 * (i % 2)) for i in range(20)] + [(99, "b", 500)], "doc_id bigint, source string, n_tokens bigint").coalesce(3)
     counts = dict.fromkeys(range(20), 0)
