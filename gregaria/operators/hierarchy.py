@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from gregaria.operators.skew import skew_join
 from gregaria.sources.scratch import Scratch
+from gregaria.sources.workers import on_workers
 
 HOT_SHARE = 1 / 64
-CORE_ROWS = 100_000
+CORE_ROWS = 200_000
+CORE_ROWS_WITH_PATH = 20_000
 RAKED, SPLICED, KEPT, CIRCLE = 0, 1, 2, 3
 
 
@@ -141,7 +143,7 @@ def _resolve_core(edges: DataFrame, with_path: bool) -> DataFrame:
 
     kind = edges.schema["tree"].dataType.simpleString()
     schema = f"tree {kind}, node bigint, root bigint, depth int" + (", path array<bigint>" if with_path else "")
-    return edges.coalesce(1).mapInPandas(run, schema)
+    return on_workers(edges.coalesce(1)).mapInPandas(run, schema)
 
 
 def _core_paths(node, above, via, root, depth) -> list:
@@ -161,7 +163,7 @@ class Forest:
     scratch: Scratch
 
 
-def resolve_forest(edges: DataFrame, with_path: bool = False, core_rows: int = CORE_ROWS) -> Forest:
+def resolve_forest(edges: DataFrame, with_path: bool = False, core_rows: int | None = None) -> Forest:
     """Root and depth, and if wanted the path from the root, of every node with a parent.
 
     ``edges``: ``tree, node, parent`` and any other columns. Rows with a null
@@ -170,8 +172,9 @@ def resolve_forest(edges: DataFrame, with_path: bool = False, core_rows: int = C
     root and gets no row. Nodes on or below a circle get root and depth -1 and
     a null path. An empty input gives no rows.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "forest")
+    if core_rows is None:
+        core_rows = CORE_ROWS_WITH_PATH if with_path else CORE_ROWS
+    scratch = Scratch(edges.sparkSession, "forest")
     single = edges.where("tree is not null and node is not null and parent is not null").groupBy("tree", "node").agg(F.max("parent").alias("parent"))
     start = single.select("tree", "node", "parent", F.lit(1).alias("steps"), *([F.array().cast("array<bigint>").alias("via")] if with_path else []))
     current = scratch.write(start, "edges")

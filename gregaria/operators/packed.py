@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gregaria.sources.workers import on_workers
+
 # The signs that belong to values, and the brackets.
 PLAIN = re.compile(r"(?:[^\W]|[.+\-'@])+")
 SPACE = re.compile(r"\s*")
@@ -123,4 +125,4 @@ def unpack_fields(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
                 names=[key, "field_name", "pos", "item"],
             )
 
-    return records.select(key, *fields).mapInArrow(run, f"`{key}` {kind}, field_name string, pos bigint, item string")
+    return on_workers(records.select(key, *fields)).mapInArrow(run, f"`{key}` {kind}, field_name string, pos bigint, item string")

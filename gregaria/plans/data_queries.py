@@ -9,6 +9,7 @@ from gregaria.operators.hierarchy import descendants, resolve_forest
 from gregaria.operators.packed import unpack_fields
 from gregaria.operators.references import broken_references, given, parent_intervals
 from gregaria.operators.skew import per_key, skew_join
+from gregaria.sources.scratch import Scratch
 from gregaria.sources.tables import read_table
 
 HEAVY_SHARE = 1 / 40
@@ -117,7 +118,7 @@ def tree_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resolved_trees(spark: SparkSession, sf: str, with_path: bool = False, **limits: int) -> DataFrame:
-    links = tree_links(spark, sf)
+    links = Scratch(spark, "links").write(tree_links(spark, sf), "links")  # read twice: roots and forest
     forest = resolve_forest(links.where("parent is not null"), with_path, **limits)
     path = [F.array("node").alias("path")] if with_path else []
     alone = links.where("parent is null").select("tree", "node", F.col("node").alias("root"), F.lit(0).alias("depth"), *path)

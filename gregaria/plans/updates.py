@@ -20,6 +20,7 @@ from gregaria.graph import Graph
 from gregaria.operators.hierarchy import resolve_forest
 from gregaria.operators.relational import anti, arg_max, semi
 from gregaria.schema import BASE
+from gregaria.sources.scratch import Scratch
 
 _JOBS = "array<struct<org_id:bigint,year:int>>"
 REQUESTS = {
@@ -45,6 +46,11 @@ def _fresh(requests: DataFrame, key: str, table: DataFrame) -> DataFrame:
     return arg_max(anti(requests.where(F.col(key).isNotNull()), _ids(table, key), key), [key], order)
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """Accepted requests as a written table: several tables are made of them, and reads of those need not accept them again."""
+    return Scratch(rows.sparkSession, "accepted").write(rows, "rows")
+
+
 def _append(g: Graph, name: str, rows: DataFrame) -> Graph:
     kinds = [part.split(" ", 1) for part in BASE[name].split(", ")]
     shaped = rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds))
@@ -65,7 +71,7 @@ def _tagged(g: Graph, name: str, owner: str, rows: DataFrame) -> Graph:
 
 
 def add_persons(g: Graph, requests: DataFrame) -> Graph:
-    rows = _fresh(requests, "person_id", g.person)
+    rows = _kept(_fresh(requests, "person_id", g.person))
     cities = _ids(g.place, "city_id").distinct().withColumn("known_city", F.col("city_id"))
     new = rows.join(cities, "city_id", "left").select("*", F.col("person_id").alias("id")).withColumns({"languages": F.array_sort("languages"), "city_id": F.col("known_city")})
     out = _tagged(_append(g, "person", new), "person_interest", "person_id", rows)
@@ -124,6 +130,7 @@ def add_comments(g: Graph, requests: DataFrame) -> Graph:
     # a parent from this batch counts only if it is accepted itself
     kept = rows.select(F.col("comment_id").alias("reply_comment_id"), F.lit(True).alias("kept"))
     rows = rows.join(kept, "reply_comment_id", "left")
+    rows = _kept(rows)
     new = rows.select(
         F.col("comment_id").alias("id"), "creation_ms", "location_ip", "browser_used", "content", F.col("person_id").alias("creator_id"), "country_id",
         F.col("known_post").alias("reply_of_post"), F.coalesce("known_comment", F.when(F.col("kept"), F.col("reply_comment_id"))).alias("reply_of_comment"),
