@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gregaria.sources.scratch import Scratch
+from gregaria.sources.workers import on_workers
 
 FAN_IN = 32
 SURE = 1e-9
@@ -103,7 +104,7 @@ def _round(chosen: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
         return rows(frame.sort_values("node", kind="stable"), int(frame["parent"].iloc[0]))
 
     ordered = chosen.sortWithinPartitions("doc_id").withColumn("node", F.spark_partition_id().cast("bigint"))  # the same choice each time
-    level = scratch.write(ordered.mapInPandas(leaves, _OUT), "leaves")
+    level = scratch.write(on_workers(ordered).mapInPandas(leaves, _OUT), "leaves")
     is_open = (F.col("fraction") > 0) & (F.col("fraction") < 1)
     settled, residual = [level.where(~is_open)], level.where(is_open)
     nodes = (level.agg(F.max("node")).first()[0] or 0) + 1

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from gregaria.sources.scratch import Scratch
 from gregaria.sources.tables import spread
+from gregaria.sources.workers import on_workers
 
 FEATURES = ["density", "links", "entropy", "repetition", "function_words"]
 # The side of each feature on which spam lies.
@@ -217,7 +218,7 @@ def profile_texts(rows: DataFrame, keep: list[str], text: str = "text") -> DataF
             values = np.array([profile(t.as_py()) for t in batch.column(text)], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(c) for c in values.T)], names=[*keep, *FEATURES])
 
-    return spread(rows.select(*keep, text)).mapInArrow(run, f"{kinds}, " + ", ".join(f"{f} double" for f in FEATURES))
+    return on_workers(spread(rows.select(*keep, text))).mapInArrow(run, f"{kinds}, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def robust_scatter(profiles: DataFrame, group: str) -> DataFrame:

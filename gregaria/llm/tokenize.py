@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gregaria.sources.tables import spread
+from gregaria.sources.workers import on_workers
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern with which this vocabulary's tokenizer splits a text before it merges bytes.
@@ -109,7 +110,7 @@ def encode_texts(rows: DataFrame, key: str, text: str = "text", path: str = BYTE
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))], names=[key, "ids"])
 
-    return spread(rows.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return on_workers(spread(rows.select(key, text))).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def count_tokens(rows: DataFrame, keep: list[str], text: str = "text", path: str = BYTE_BPE) -> DataFrame:
@@ -123,4 +124,4 @@ def count_tokens(rows: DataFrame, keep: list[str], text: str = "text", path: str
             counts = pa.array([len(encode(value.as_py())) for value in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), counts], names=[*keep, "n_tokens"])
 
-    return spread(rows.select(*keep, text)).mapInArrow(run, f"{kinds}, n_tokens bigint")
+    return on_workers(spread(rows.select(*keep, text))).mapInArrow(run, f"{kinds}, n_tokens bigint")

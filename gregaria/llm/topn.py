@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gregaria.sources.workers import on_workers
+
 RUN_ROWS = 1 << 19
 FAN_IN = 64
 
@@ -157,5 +159,5 @@ def top_n(rows: DataFrame, group: str, score: str, tie: str, n: int, run_rows: i
         if runs:
             yield ranked(runs)
 
-    stored = whole.mapInArrow(form, "bucket int, groups binary, scores binary, ties binary")
+    stored = on_workers(whole).mapInArrow(form, "bucket int, groups binary, scores binary, ties binary")
     return stored.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, f"`{group}` bigint, rank_no bigint, `{tie}` bigint")
