@@ -22,7 +22,7 @@ def _named(g: Graph, rows: DataFrame, key: str = "person_id", *extra: str) -> Da
     return rows.join(g.person.select(F.col("id").alias(key), "first_name", "last_name", *extra), key)
 
 
-def _rank(rows: DataFrame, limit: int | None) -> list[str]:
+def _rank(limit: int | None) -> list[str]:
     return ["rank"] if limit is not None else []
 
 
@@ -118,7 +118,7 @@ def ic7(g: Graph, person_id: int, limit: int | None = 20) -> DataFrame:
     rows = _named(g, top)
     out = rows.select(
         "person_id", "first_name", "last_name", "like_ms", "message_id", "content", minutes_between(F.col("sent_ms"), F.col("like_ms")).alias("minutes_latency"),
-        (~F.col("is_friend")).alias("is_new"), *_rank(rows, limit),
+        (~F.col("is_friend")).alias("is_new"), *_rank(limit),
     )
     return in_order(out, order, limit)
 
