@@ -4,7 +4,8 @@ Each document is measured by how many of its characters lie in unexplained
 links, strings of tags, keyword lists, lists of goods and keyword-stuffed
 sentences (densities), by the entropy and repetition of its words and by its
 share of function words. For every language the robust centre and scatter of
-these features over all its documents give a Mahalanobis distance. A document
+these features over its distinct texts that are not dense give a Mahalanobis
+distance, so that neither copies nor a majority of spam become the norm. A document
 is spam if it is an outlier and lies in the spam-directed direction: its
 densities together exceed one half, the sense of the definition.
 """
@@ -31,6 +32,8 @@ SPAM_DIRECTION = [1, 1, -1, 1, -1]
 MIN_DENSITY = 0.5
 MIN_DISTANCE = 3.5
 SCALE_FLOOR = 0.05
+MAX_CENTRE = MIN_DENSITY / 2  # of density, so that a page above MIN_DENSITY is MIN_DISTANCE off in any language
+MAX_SCALE = (MIN_DENSITY - MAX_CENTRE) / MIN_DISTANCE
 LANGUAGE_SHARE = 1 / 1000
 
 # Function words of the larger languages, which sentences hold and keyword lists lack.
@@ -226,11 +229,14 @@ def robust_scatter(profiles: DataFrame, group: str) -> DataFrame:
 
     Medians and median absolute deviations come from mergeable quantile
     sketches over all rows; deviations are cut at 3 scales before their
-    products are averaged, so a minority of outliers moves neither.
+    products are averaged, so a minority of outliers moves neither. Centre and
+    scale of density are bounded.
     """
     middle = profiles.groupBy(group).agg(*(F.percentile_approx(f, F.lit(0.5), F.lit(10_000)).alias(f"m_{f}") for f in FEATURES))
+    middle = middle.withColumn("m_density", F.least("m_density", F.lit(MAX_CENTRE)))
     off = profiles.join(F.broadcast(middle), group)
     spread = off.groupBy(group).agg(*(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), F.lit(0.5), F.lit(10_000)).alias(f"s_{f}") for f in FEATURES))
+    spread = spread.withColumn("s_density", F.least("s_density", F.lit(MAX_SCALE / 1.4826)))
     scaled = off.join(F.broadcast(spread), group)
     z = {f: (F.col(f) - F.col(f"m_{f}")) / F.greatest(1.4826 * F.col(f"s_{f}"), F.lit(SCALE_FLOOR)) for f in FEATURES}
     cut = {f: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z[f])) for f in FEATURES}
@@ -239,6 +245,8 @@ def robust_scatter(profiles: DataFrame, group: str) -> DataFrame:
     rows = []
     for r in moments.collect():  # a row a language, at most 1 / LANGUAGE_SHARE + 1
         c = np.array([[r[f"c_{a}_{b}"] if f"c_{a}_{b}" in r else r[f"c_{b}_{a}"] for b in FEATURES] for a in FEATURES])
+        wide = np.sqrt(np.maximum(np.diag(c), 1.0))
+        c = c / np.outer(wide, wide)  # else a feature that varies more than its scale says would shrink its own deviations
         inverse = np.linalg.inv(0.9 * c + 0.1 * max(1.0, np.trace(c) / len(c)) * np.eye(len(c)))
         rows.append((r[group], [float(r[f"m_{f}"]) for f in FEATURES], [max(1.4826 * r[f"s_{f}"], SCALE_FLOOR) for f in FEATURES], [float(x) for x in inverse.ravel()]))
     return profiles.sparkSession.createDataFrame(rows, f"`{group}` string, centre array<double>, scale array<double>, inverse array<double>")
@@ -254,13 +262,17 @@ def stuffed_pages(documents: DataFrame, key: str = "doc_id", text: str = "text",
     """
     scratch = Scratch(documents.sparkSession, "stuffing")
     # a copy under fixed names, so that other columns of any name do no harm
-    source = documents.select(F.col(key).alias("key"), F.coalesce(F.col(language), F.lit("")).alias("language"), F.col(text).alias("text"))
-    profiles = scratch.write(profile_texts(source, ["key", "language"]), "profiles")
+    source = documents.select(F.col(key).alias("key"), F.coalesce(F.col(language), F.lit("")).alias("language"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    profiles = scratch.write(profile_texts(source, ["key", "language", "hash"]), "profiles")
     sizes = profiles.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
     whole = profiles.count()
     common = sizes.where(F.col("n") >= whole * LANGUAGE_SHARE).select("language", F.col("language").alias("own"))
     grouped = profiles.join(F.broadcast(common), "language", "left").withColumn("own", F.coalesce("own", F.lit("other")))
-    scored = grouped.join(F.broadcast(robust_scatter(grouped, "own")), "own")
+    usual = grouped.where(F.col("density") <= MIN_DENSITY).select("own", "hash", *FEATURES).dropDuplicates(["own", "hash"]).drop("hash")
+    blank = dict(zip(FEATURES, profile(None)))  # one a group, so that a language of nothing but spam has a centre
+    blanks = grouped.select("own").distinct().select("own", *(F.lit(v).alias(f) for f, v in blank.items()))
+    usual = scratch.write(usual.unionByName(blanks), "usual")
+    scored = grouped.join(F.broadcast(robust_scatter(usual, "own")), "own")
     z = F.array(*((F.col(f) - F.col("centre")[i]) / F.col("scale")[i] for i, f in enumerate(FEATURES)))
     towards = F.array(*(F.lit(float(s)) for s in SPAM_DIRECTION))
     scored = scored.withColumn("z", z).withColumn("towards", towards)

@@ -98,3 +98,13 @@ def test_rows(spark):
 def test_whole_text_counts():
     r = random.Random(2)
     assert profile(" ".join(PROSE * 40) + "\n" + phrases(r, 2000, "\n"))[0] > 0.5
+
+
+def test_a_language_of_mostly_spam(spark):
+    r = random.Random(7)
+    page = phrases(r, 50, ", ")
+    copies = [(i, page, "copied") for i in range(40)] + [(100 + i, sound(r), "copied") for i in range(20)]
+    varied = [(200 + i, phrases(r, 50, ", "), "varied") for i in range(40)] + [(300 + i, sound(r), "varied") for i in range(10)]
+    alone = [(400 + i, spam(r), "alone") for i in range(30)]
+    df = spark.createDataFrame(copies + varied + alone, "doc_id bigint, text string, lang string")
+    assert {x.doc_id for x in stuffed_pages(df).collect()} == {*range(40), *range(200, 240), *range(400, 430)}
