@@ -62,7 +62,7 @@ MD_LINK = re.compile(r"\[([^\[\]]*)\]\(((?:https?|ftp)://[^\s()]+)\)")
 JSON_JOINT = re.compile(r"\{\"|\"\}|\": \"|\", \"")
 LEAD = re.compile(r"^(?:[\s>*•+\-]|//+|/\*+|--|#+(?=\s)|\"{3}|'{3}|<!--|\d+[.)]\s)+|(?:\*/|-->|\"{3}|'{3}|\s)+$")
 CODE = re.compile(r"[{}()=<>$\\\"`_\[\]~^]|[;:]$|\w\.\w+\.\w|::|\s:|^\S+:\s|&&|^\s*@|\+\+|[.#]\w[\w-]*\s*,|(?:^|\s)--?[a-zA-Z]")
-SURE_CODE = re.compile(r"[{}()=$\\`~^]")  # of the signs in CODE those that no wrapper holds, to pass most lines of code by at once
+SURE_CODE = re.compile(r"[{}(=$\\`~^]")  # of the signs in CODE those that no wrapper holds, to pass most lines of code by at once; lists are numbered with ")"
 WORD = re.compile(r"[^\W\d_]+")
 HASHTAGS = re.compile(r"(?:#[^\s#]*[^\W\d][^\s#]*\s*)+")
 DIRECTIVE = re.compile(r"#(?:end\w*|else|if\w*|define|include|pragma|undef|error|line|region)\b")
@@ -112,7 +112,7 @@ def profile(text: str | None) -> tuple[float, ...]:
     all_words = functional = 0
     for raw in _lines(text):
         linked = "://" in raw
-        if not linked and SURE_CODE.search(raw):
+        if not linked and "#" not in raw and SURE_CODE.search(raw):
             continue
         line = LEAD.sub("", raw)
         if not line:

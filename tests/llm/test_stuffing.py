@@ -108,3 +108,11 @@ def test_a_language_of_mostly_spam(spark):
     alone = [(400 + i, spam(r), "alone") for i in range(30)]
     df = spark.createDataFrame(copies + varied + alone, "doc_id bigint, text string, lang string")
     assert {x.doc_id for x in stuffed_pages(df).collect()} == {*range(40), *range(200, 240), *range(400, 430)}
+
+
+def test_numbered_lists_and_hashtags_with_signs():
+    r = random.Random(9)
+    for joint in (") ", ". "):
+        assert profile("\n".join(f"{i}{joint}{phrases(r, 1, '')}" for i in range(1, 41)))[0] > 0.5, joint
+    tags = ["#{}(new)", "#{}=sale", "#only${}", "#{}^2"]
+    assert profile("\n".join(" ".join(r.choice(tags).format(r.choice(NOUNS)) for _ in range(5)) for _ in range(10)))[0] > 0.5
