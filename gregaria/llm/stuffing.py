@@ -53,20 +53,24 @@ FUNCTION_WORDS = frozenset(
 # Words that open a line of code which has no sign of code in it; none that is a common noun.
 CODE_OPENERS = frozenset("import from package return goto else elif fi done end break continue pass try".split())
 
-URL = re.compile(r"(?:https?|ftp)://([^\s/\"'<>\])]+)[^\s\"'<>\])]*")
-ANCHOR = re.compile(r"<a\b[^>]*?href\s*=\s*[\"']?((?:https?|ftp)://[^\s\"'>]+)[\"']?[^>]*>(.*?)</a>", re.I | re.S)
+URL = re.compile(r"(?:(?:https?|ftp)://|\b(?=www\.[\w-]+\.\w))([^\s/\"'<>\])]+)[^\s\"'<>\])]*")
+ANCHOR = re.compile(r"<a\b[^>]*?href\s*=\s*[\"']?((?:(?:https?|ftp)://|www\.)[^\s\"'>]+)[\"']?[^>]*>(.*?)</a>", re.I | re.S)
 KEYWORDS_META = re.compile(r"<meta\b[^>]*?content\s*=\s*\"([^\"]*)\"[^>]*>", re.I)
 TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
-BB_LINK = re.compile(r"\[url=((?:https?|ftp)://[^\]]+)\](.*?)\[/url\]", re.I)
-MD_LINK = re.compile(r"\[([^\[\]]*)\]\(((?:https?|ftp)://[^\s()]+)\)")
+BB_LINK = re.compile(r"\[url=((?:(?:https?|ftp)://|www\.)[^\]]+)\](.*?)\[/url\]", re.I)
+MD_LINK = re.compile(r"\[([^\[\]]*)\]\(((?:(?:https?|ftp)://|www\.)[^\s()]+)\)")
 JSON_JOINT = re.compile(r"\{\"|\"\}|\": \"|\", \"")
 LEAD = re.compile(r"^(?:[\s>*•+\-]|//+|/\*+|--|#+(?=\s)|\"{3}|'{3}|<!--|\d+[.)]\s)+|(?:\*/|-->|\"{3}|'{3}|\s)+$")
 CODE = re.compile(r"[{}()=<>$\\\"`_\[\]~^]|[;:]$|\w\.\w+\.\w|::|\s:|^\S+:\s|&&|^\s*@|\+\+|[.#]\w[\w-]*\s*,|(?:^|\s)--?[a-zA-Z]")
-SURE_CODE = re.compile(r"[{}(=$\\`~^]")  # of the signs in CODE those that no wrapper holds, to pass most lines of code by at once; lists are numbered with ")"
+SURE_CODE = re.compile(r"[{}(\\`~^]")  # of the signs in CODE those that no wrapper, price or pair holds, to pass most lines of code by at once; lists are numbered with ")"
+PAIR = re.compile(r"(?:[\w<>]+ ){0,3}?[\"']?[\w.$@-]+(?: [\w-]+){0,2}[\"']?\s*(?::=|=>|[:=])\s*(?=\S)")
+STRING = re.compile(r"\"([^\"]*)\"|'([^']*)'")
+JOINTS = re.compile(r"[\s,;()\[\]{}+]*")
+UNDERSCORED = re.compile(r"[\w\s,;|/-]+")
 WORD = re.compile(r"[^\W\d_]+")
 HASHTAGS = re.compile(r"(?:#[^\s#]*[^\W\d][^\s#]*\s*)+")
 DIRECTIVE = re.compile(r"#(?:end\w*|else|if\w*|define|include|pragma|undef|error|line|region)\b")
-GOODS = re.compile(r"\d[.,]\d\d\s*(?:[$€£¥]|[A-Z]{3})?$")
+GOODS = re.compile(r"(?:[$€£¥]\s?)?\d+[.,]\d\d\s*(?:[$€£¥]|[A-Z]{3})?$")
 SPLIT = re.compile(r"\s*[,;|/•·、，；]\s*|\s+[-–—*]\s+")
 SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 
@@ -89,13 +93,40 @@ def _lines(text: str) -> list[str]:
         text = BB_LINK.sub(r"[\2](\1)", text)
     out: list[str] = []
     for line in text.splitlines():
-        if len(line) > 200 and line.lstrip()[:1] in "{[":
+        if line.lstrip("\ufeff \t")[:1] in ("{", "[") and JSON_JOINT.search(line):
             out.extend(JSON_JOINT.sub("\n", line).replace("\\n", "\n").split("\n"))
         else:
             out.append(line)
     return out
 
 
+def _opened(line: str) -> str:
+    """The words of a line with signs of code, if it is a value or literals of keywords or has few signs; else nothing."""
+    pair = PAIR.match(line)
+    value = line[pair.end() :].rstrip(" ,;") if pair else line
+    if "\"" in value or "'" in value:
+        if not JOINTS.fullmatch(STRING.sub("", value)):
+            return ""  # an argument of a call, or broken
+        inner = ", ".join(a or b for a, b in STRING.findall(value))
+    else:
+        inner = value
+    if "_" in inner and UNDERSCORED.fullmatch(inner) and len(SPLIT.split(inner)) >= 3:
+        inner = inner.replace("_", " ")
+    words = _words(inner)
+    signs = len(CODE.findall(inner))
+    if signs:
+        if len(words) < 10 or 8 * signs > len(words):
+            return ""
+        inner = CODE.sub(" ", inner)
+    letters = sum(map(len, words))
+    if not words or letters < 0.8 * (len(inner) - inner.count(" ")) or len(words) < 12 and _functional(words) >= 2:
+        return ""
+    units = len([u for u in SPLIT.split(inner) if u])
+    if pair and units < 3 and len(words) < 12 and (units < 2 or len(set(words)) == len(words)):
+        return ""  # a field of data, not a list of its own
+    return inner.strip()
+
+
 def profile(text: str | None) -> tuple[float, ...]:
     """The values of ``FEATURES`` for a text: all 0, with entropy 1, for a null, empty or blank one.
 
@@ -111,8 +142,8 @@ def profile(text: str | None) -> tuple[float, ...]:
     prose: list[str] = []
     all_words = functional = 0
     for raw in _lines(text):
-        linked = "://" in raw
-        if not linked and "#" not in raw and SURE_CODE.search(raw):
+        linked = "://" in raw or "www." in raw
+        if not linked and "#" not in raw and "\"" not in raw and "'" not in raw and SURE_CODE.search(raw):
             continue
         line = LEAD.sub("", raw)
         if not line:
@@ -120,7 +151,7 @@ def profile(text: str | None) -> tuple[float, ...]:
         size = len(line) - line.count(" ")
         if linked:
             found = URL.findall(line)
-            rest = URL.sub(" ", MD_LINK.sub(r" \1 \2 ", line)).strip(" :-–—|,;*")
+            rest = URL.sub(" ", MD_LINK.sub(r" \1 \2 ", line)).strip(" :-–—|,;*\"'")
             words = _words(rest)
             f = _functional(words)
             all_words += len(words)
@@ -138,18 +169,25 @@ def profile(text: str | None) -> tuple[float, ...]:
             tags += size
             tag_lines += line.count("#")
             continue
+        price = GOODS.search(line)
+        if price and "," not in line[:-4] and not CODE.search(line[: price.start()]):
+            words = _words(line)
+            f = _functional(words)
+            if f < 2 and len(words) >= 3:
+                all_words += len(words)
+                functional += f
+                goods += size
+                goods_lines += 1
+                continue
         if CODE.search(line):
-            continue
+            line = _opened(line)
+            size = len(line) - line.count(" ")
         words = _words(line)
         if not words:
             continue
         f = _functional(words)
         all_words += len(words)
         functional += f
-        if f < 2 and len(words) >= 3 and GOODS.search(line) and "," not in line[:-4]:
-            goods += size
-            goods_lines += 1
-            continue
         if f >= 2 and f >= 0.12 * len(words) or line[-1] in ".!?。":
             prose.append(line)
             continue

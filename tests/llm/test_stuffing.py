@@ -116,3 +116,36 @@ def test_numbered_lists_and_hashtags_with_signs():
         assert profile("\n".join(f"{i}{joint}{phrases(r, 1, '')}" for i in range(1, 41)))[0] > 0.5, joint
     tags = ["#{}(new)", "#{}=sale", "#only${}", "#{}^2"]
     assert profile("\n".join(" ".join(r.choice(tags).format(r.choice(NOUNS)) for _ in range(5)) for _ in range(10)))[0] > 0.5
+
+
+def test_keywords_in_code_and_data():
+    r = random.Random(13)
+    goods = "\n".join(f"{r.choice(NOUNS)} {r.choice(NOUNS)} red XL ${r.randrange(99)}.99" for _ in range(25))
+    pages = {
+        "price": goods,
+        "yaml": "\n".join(f"keywords: {phrases(r, 6, ', ')}" for _ in range(8)),
+        "pretty": "{\n" + "\n".join(f'  "field{i}": "{phrases(r, 6, ", ")}",' for i in range(8)) + "\n}",
+        "array": "[\n" + "\n".join(f'  "{phrases(r, 1, "")}",' for i in range(40)) + "\n]",
+        "short": "\n".join(f'{{"tags": "{phrases(r, 6, ", ")}"}}' for _ in range(8)),
+        "mark": "\ufeff" + '{"name": "x", "description": "' + phrases(r, 40, ", ") + '"}',
+        "assigned": "\n".join(f'kw = "buy {n}, cheap {n}"' for n in NOUNS * 3),
+        "underscored": "\n".join(phrases(r, 5, ", ").replace(" ", "_").replace(",_", ", ") for _ in range(8)),
+        "bare": "\n".join(f"www.{r.choice(WORDS)}-{i}.example" for i in range(30)),
+        "bracket": "\n".join(phrases(r, 8, ", ") + " [new]" for _ in range(8)),
+    }
+    assert [k for k, page in pages.items() if profile(page)[0] <= 0.5] == []
+
+
+def test_data_and_code_stay_sound():
+    r = random.Random(17)
+    pages = {
+        "locale": "\n".join(f'  "{r.choice(NOUNS)}_{i}": "{phrases(r, 1, "")}",' for i in range(40)),
+        "records": "\n".join(f'{{"id": {i}, "item": "{r.choice(NOUNS)}", "stock": {r.randrange(99)}, "code": "a{i}"}}' for i in range(40)),
+        "sums": "\n".join(f'    "integrity": "sum-{r.getrandbits(160):040x}",' for _ in range(40)),
+        "checks": "\n".join(f'check(f{i}("{phrases(r, 3, " ")}"), {i})' for i in range(40)),
+        "calls": "\n".join(f'run("{r.choice(NOUNS)} {r.choice(WORDS)}", x{i}, {{ deep: true }})' for i in range(40)),
+        "yaml": "\n".join(f'{r.choice(NOUNS)}:\n  size: {i}.99\n  state: "{r.choice(WORDS)} {r.choice(NOUNS)}"' for i in range(30)),
+        "modules": "\n".join(f"mod {r.choice(NOUNS)};" for _ in range(40)),
+        "php": "\n".join(f"${r.choice(NOUNS)}_{i} = {i}.99" for i in range(30)),
+    }
+    assert [k for k, page in pages.items() if profile(page)[0] > 0.5] == []
