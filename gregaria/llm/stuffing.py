@@ -54,6 +54,7 @@ FUNCTION_WORDS = frozenset(
 CODE_OPENERS = frozenset("import from package return goto else elif fi done end break continue pass try".split())
 
 URL = re.compile(r"(?:(?:https?|ftp)://|\b(?=www\.[\w-]+\.\w))([^\s/\"'<>\])]+)[^\s\"'<>\])]*")
+SITE_FORMS = ("<loc>", "\"resolved\":", "resolved \"")
 ANCHOR = re.compile(r"<a\b[^>]*?href\s*=\s*[\"']?((?:(?:https?|ftp)://|www\.)[^\s\"'>]+)[\"']?[^>]*>(.*?)</a>", re.I | re.S)
 KEYWORDS_META = re.compile(r"<meta\b[^>]*?content\s*=\s*\"([^\"]*)\"[^>]*>", re.I)
 TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
@@ -70,7 +71,7 @@ UNDERSCORED = re.compile(r"[\w\s,;|/-]+")
 WORD = re.compile(r"[^\W\d_]+")
 HASHTAGS = re.compile(r"(?:#[^\s#]*[^\W\d][^\s#]*\s*)+")
 DIRECTIVE = re.compile(r"#(?:end\w*|else|if\w*|define|include|pragma|undef|error|line|region)\b")
-GOODS = re.compile(r"(?:[$€£¥]\s?)?\d+[.,]\d\d\s*(?:[$€£¥]|[A-Z]{3})?$")
+GOODS = re.compile(r"(?:[$€£¥]\s?)?\d{1,9}[.,]\d\d\s*(?:[$€£¥]|[A-Z]{3})?$")
 SPLIT = re.compile(r"\s*[,;|/•·、，；]\s*|\s+[-–—*]\s+")
 SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 
@@ -137,7 +138,7 @@ def profile(text: str | None) -> tuple[float, ...]:
         return 0.0, 0.0, 1.0, 0.0, 0.0
     links = tags = goods = 0
     tag_lines = goods_lines = 0
-    hosts: Counter[str] = Counter()
+    hosts: dict[str, list[tuple[float, set[str]]]] = {}  # of each link its characters and the words of its page and text
     lists: list[tuple[int, list[str], int]] = []  # characters, words, units of lines that are lists of phrases
     prose: list[str] = []
     all_words = functional = 0
@@ -150,14 +151,15 @@ def profile(text: str | None) -> tuple[float, ...]:
             continue
         size = len(line) - line.count(" ")
         if linked:
-            found = URL.findall(line)
+            found = list(URL.finditer(line))
             rest = URL.sub(" ", MD_LINK.sub(r" \1 \2 ", line)).strip(" :-–—|,;*\"'")
             words = _words(rest)
             f = _functional(words)
             all_words += len(words)
             functional += f
             if not CODE.search(rest) and len(words) <= 12 * len(found) and f <= max(1, 0.12 * len(words)):
-                hosts.update(found)
+                for m in found:
+                    hosts.setdefault(m[1], []).append((size / len(found), {*words, *_words(_page(m[0][m.end(1) - m.start() :]))}))
                 links += size
                 continue
             line = rest
@@ -201,8 +203,13 @@ def profile(text: str | None) -> tuple[float, ...]:
         else:
             prose.append(line)
 
-    if hosts and max(hosts.values()) > max(2, 0.34 * sum(hosts.values())):
-        links = 0  # the pages of one site: a site map or a lock file
+    n_links = sum(map(len, hosts.values()))
+    if n_links and sum(map(text.count, SITE_FORMS)) >= max(3, 0.5 * n_links):
+        links = 0  # a site map or a lock file
+    elif n_links:
+        most = max(hosts.values(), key=len)
+        if len(most) > max(2, 0.34 * n_links) and not _names_keywords([words for _, words in most]):
+            links -= sum(size for size, _ in most)  # the pages of one site
     tags = tags if tag_lines >= 3 else 0
     goods = goods if goods_lines >= 3 else 0
     keywords = _list_characters(lists)
@@ -212,6 +219,19 @@ def profile(text: str | None) -> tuple[float, ...]:
     return density, min(1.0, links / total), entropy, repetition, functional / max(1, all_words)
 
 
+def _page(path: str) -> str:
+    """The last part of a path, without its extension."""
+    name = path.partition("?")[0].partition("#")[0].rstrip("/").rpartition("/")[2]
+    return name.rpartition(".")[0] or name
+
+
+def _names_keywords(links: list[set[str]]) -> bool:
+    """Whether links to one host name their pages by phrases of which most words recur from link to link."""
+    counts = Counter(w for words in links for w in words)
+    n = sum(counts.values())
+    return n >= 2 * len(links) and sum(c for c in counts.values() if c > 1) >= 0.6 * n
+
+
 def _list_characters(lists: list[tuple[int, list[str], int]]) -> int:
     """Characters of lists that string keywords together: their words recur, within phrases or one by one."""
     counts = Counter(w for _, words, _ in lists for w in words)

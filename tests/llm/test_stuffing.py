@@ -149,3 +149,16 @@ def test_data_and_code_stay_sound():
         "php": "\n".join(f"${r.choice(NOUNS)}_{i} = {i}.99" for i in range(30)),
     }
     assert [k for k, page in pages.items() if profile(page)[0] > 0.5] == []
+
+
+def test_links_to_one_host():
+    r = random.Random(19)
+    shop = lambda: f"https://shop.test/{phrases(r, 1, '').replace(' ', '-')}-{r.randrange(999)}"
+    assert profile("\n".join(shop() for _ in range(30)))[0] > 0.5
+    assert profile("\n".join(f"* [{phrases(r, 1, '')}](https://shop.test/p/{i})" for i in range(30)))[0] > 0.5
+    assert profile("\n".join(f"https://shop.test/p/{i}" if i % 20 < 7 else url(r) for i in range(60)))[0] > 0.5
+    pages = "install upgrade logging metrics storage network backup restore tuning security users roles events queues caches drivers".split()
+    assert profile("\n".join(f"* [{p} guide](https://project.test/docs/{p}-guide.html)" for p in pages))[0] < 0.5
+    assert profile("\n".join(f"https://project.test/docs/{p}" for p in pages))[0] < 0.5
+    assert profile("\n".join(f"<url><loc>{shop()}</loc></url>" for _ in range(30)))[0] < 0.5
+    assert profile("\n".join(f'  resolved "https://registry.test/{n}-{w}-{n}.tgz"' for n in NOUNS for w in WORDS))[0] < 0.5
