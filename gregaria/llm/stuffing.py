@@ -73,6 +73,10 @@ HASHTAGS = re.compile(r"(?:#[^\s#]*[^\W\d][^\s#]*\s*)+")
 DIRECTIVE = re.compile(r"#(?:end\w*|else|if\w*|define|include|pragma|undef|error|line|region)\b")
 GOODS = re.compile(r"(?:[$€£¥]\s?)?\d{1,9}[.,]\d\d\s*(?:[$€£¥]|[A-Z]{3})?$")
 SPLIT = re.compile(r"\s*[,;|/•·、，；]\s*|\s+[-–—*]\s+")
+# Scripts without spaces between words, the separators of phrases in them, and signs that sentences in them hold.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f]+")
+PHRASES = re.compile(r"[\s,;|/•·・、，；*–—-]+")
+FUNCTION_SIGNS = re.compile("[的了是在和不我你这這有也就与與及或为為把被从從会會能はをがにでとも]|ที่|และ|ของ|เป็น|ไม่|ได้|ใน|จะ|ให้")
 SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 
 
@@ -80,6 +84,12 @@ def _words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def _grams(line: str) -> list[str]:
+    """The words of a line, those of scripts without spaces as pairs of characters."""
+    runs = UNSPACED.findall(line)
+    return _words(UNSPACED.sub(" ", line)) + [run[i : i + 2] for run in runs for i in range(max(1, len(run) - 1))]
+
+
 def _functional(words: list[str]) -> int:
     return sum(map(FUNCTION_WORDS.__contains__, words))
 
@@ -140,6 +150,7 @@ def profile(text: str | None) -> tuple[float, ...]:
     tag_lines = goods_lines = 0
     hosts: dict[str, list[tuple[float, set[str]]]] = {}  # of each link its characters and the words of its page and text
     lists: list[tuple[int, list[str], int]] = []  # characters, words, units of lines that are lists of phrases
+    unspaced: list[tuple[int, list[str], int]] = []  # the same of lines in scripts without spaces
     prose: list[str] = []
     all_words = functional = 0
     for raw in _lines(text):
@@ -195,6 +206,15 @@ def profile(text: str | None) -> tuple[float, ...]:
             continue
         if words[0] in CODE_OPENERS and len(words) < 8:
             continue
+        signs = "" if line.isascii() else "".join(UNSPACED.findall(line))
+        if len(signs) > 0.5 * size:
+            units = [u for u in PHRASES.split(line) if u]
+            longest = 40 if "\u0e00" <= signs[0] < "\u0e80" else 16  # Thai is spelt out
+            if max(map(len, units)) <= longest and len("".join(FUNCTION_SIGNS.findall(signs))) < 0.08 * len(signs):
+                unspaced.append((size, _grams(line), len(units)))
+            else:
+                prose.append(line)
+            continue
         units = [u for u in SPLIT.split(line) if u]
         named = [n for n in (len(WORD.findall(u)) for u in units) if n]
         strung = max(named) > 8 and f <= 0.03 * len(words)  # phrases in a row, with nothing between
@@ -212,9 +232,9 @@ def profile(text: str | None) -> tuple[float, ...]:
             links -= sum(size for size, _ in most)  # the pages of one site
     tags = tags if tag_lines >= 3 else 0
     goods = goods if goods_lines >= 3 else 0
-    keywords = _list_characters(lists)
+    keywords = _list_characters(lists) + _list_characters(unspaced, 0.6)
     stuffed, words = _stuffed_characters(prose, lists)
-    entropy, repetition = _word_spread([w for _, ws, _ in lists for w in ws] + words)
+    entropy, repetition = _word_spread([w for _, ws, _ in lists + unspaced for w in ws] + words)
     density = min(1.0, (links + tags + goods + keywords + stuffed) / total)
     return density, min(1.0, links / total), entropy, repetition, functional / max(1, all_words)
 
@@ -232,14 +252,14 @@ def _names_keywords(links: list[set[str]]) -> bool:
     return n >= 2 * len(links) and sum(c for c in counts.values() if c > 1) >= 0.6 * n
 
 
-def _list_characters(lists: list[tuple[int, list[str], int]]) -> int:
-    """Characters of lists that string keywords together: their words recur, within phrases or one by one."""
+def _list_characters(lists: list[tuple[int, list[str], int]], least: float | None = None) -> int:
+    """Characters of lists that string keywords together: their words recur, within phrases or one by one, or in the share ``least``."""
     counts = Counter(w for _, words, _ in lists for w in words)
     n, units = sum(counts.values()), sum(u for _, _, u in lists)
     if n < 8 or units < 4:
         return 0
     again = sum(c for c in counts.values() if c > 1) / n
-    if again < (0.2 if n >= 1.6 * units else 0.6):
+    if again < (least or (0.2 if n >= 1.6 * units else 0.6)):
         return 0
     return sum(size for size, words, units in lists if any(counts[w] > 1 for w in words))
 

@@ -162,3 +162,19 @@ def test_links_to_one_host():
     assert profile("\n".join(f"https://project.test/docs/{p}" for p in pages))[0] < 0.5
     assert profile("\n".join(f"<url><loc>{shop()}</loc></url>" for _ in range(30)))[0] < 0.5
     assert profile("\n".join(f'  resolved "https://registry.test/{n}-{w}-{n}.tgz"' for n in NOUNS for w in WORDS))[0] < 0.5
+
+
+def test_scripts_without_spaces():
+    r = random.Random(23)
+    lists = [("购买 便宜 最好 网上 价格 打折", "台灯 椅子 手机 靴子 手表"), ("激安 最安値 通販 人気 おすすめ", "ランプ 椅子 スマホ ブーツ 腕時計"), ("ซื้อ ราคาถูก โปรโมชั่น", "โคมไฟ เก้าอี้ มือถือ")]
+    for before, goods in lists:
+        for joint in ("、", " ", "，", "\n"):
+            page = joint.join(r.choice(before.split()) + r.choice(goods.split()) + r.choice(before.split()) for _ in range(60))
+            assert profile(page)[0] > 0.5, page[:20]
+    sentences = ["读取文件并检查其中的内容", "如果你修改了端口就需要重新启动服务器", "我们保留旧的布局是为了能和新的比较", "这一步的输入有时是空的"]
+    assert profile("\n".join(r.choice(sentences) for _ in range(40)))[0] < 0.5
+    thai = ["โปรแกรมนี้อ่านแฟ้มและตรวจสอบข้อมูลที่อยู่ในนั้น", "ค่าของพอร์ตจะได้รับการตรวจสอบ", "ไม่ต้องตั้งค่าใหม่ในครั้งต่อไป"]
+    assert profile("\n".join(r.choice(thai) for _ in range(40)))[0] < 0.5
+    places = "北京、上海、广州、深圳、成都、杭州、重庆、武汉、西安、苏州、天津、南京、长沙、郑州、东莞、青岛、沈阳、宁波、昆明、大连"
+    assert profile(places)[0] < 0.5 and profile(places.replace("、", "\n"))[0] < 0.5
+    assert profile("\n".join(["安装说明", "配置文件", "命令参考", "日志格式", "常见问题", "升级步骤", "网络设置", "备份恢复", "性能调优", "安全策略"]))[0] < 0.5
