@@ -21,24 +21,34 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_texts(read_table(spark, sf, "documents"), "doc_id")
 
 
-def _mix(spark: SparkSession, sf: str, total: str | None = None) -> Mix:
+def _mix(spark: SparkSession, sf: str, total: str | None = "corpus") -> Mix:
     sizes = Scratch(spark, "sizes").write(count_tokens(read_table(spark, sf, "documents"), ["doc_id", "source"]), "tokens")
     return mix_sources(sizes, read_table(spark, sf, "mix_target"), total)
 
 
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
-    """``doc_id, source, n_tokens, uses`` of the chosen documents, at the largest total that keeps all targets in reach."""
+    """``doc_id, source, n_tokens, uses`` of the documents chosen for a mix as large as all listed sources; sources out of reach are used up."""
     return _mix(spark, sf).uses
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """The shares that ``p7_mix`` reaches."""
+    """The shares that ``p7_mix`` reaches; targets out of reach are marked."""
     return _mix(spark, sf).shares
 
 
 def p7_shares_of_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """The shares reached in a mix as large as all listed sources; targets out of reach are marked."""
-    return _mix(spark, sf, "corpus").shares
+    """The same as ``p7_shares``, under its earlier name."""
+    return p7_shares(spark, sf)
+
+
+def p7_mix_in_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``p7_mix``, at the largest total that keeps all targets in reach."""
+    return _mix(spark, sf, None).uses
+
+
+def p7_shares_in_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares that ``p7_mix_in_reach`` reaches."""
+    return _mix(spark, sf, None).shares
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +60,7 @@ def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
     return stuffed_pages(read_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_ids, p7_mix, p7_shares, p7_shares_of_corpus, p8_found, p8_scores)}
+QUERIES = {f.__name__: f for f in (p3_found, p6_ids, p7_mix, p7_shares, p7_shares_of_corpus, p7_mix_in_reach, p7_shares_in_reach, p8_found, p8_scores)}
 
 SQL = {
     "p3_found": """

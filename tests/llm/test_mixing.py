@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from gregaria.llm import queries
 from gregaria.llm.mixing import mix_sources, pivot, pivot_all
 
 
@@ -87,3 +88,15 @@ def test_empty_null_and_repeated_targets(spark):
     assert mix_sources(df.limit(0), repeated).uses.count() == 0
     assert mix_sources(df, repeated.limit(0)).uses.count() == 0
     assert {r.source for r in mix_sources(df.limit(0), repeated).shares.where("out_of_reach").collect()} == set()
+
+
+def test_a_tiny_source_does_not_shrink_the_registered_mix(spark, tmp_path):
+    texts = [(i, "the reader opens the file and checks it " * (5 + i % 7), "big") for i in range(60)] + [(99, "a small page", "tiny")]
+    spark.createDataFrame(texts, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    targets(spark, [("big", 0.92, 1), ("tiny", 0.08, 3)]).write.parquet(f"{tmp_path}/mix_target.parquet")
+    uses = queries.p7_mix(spark, str(tmp_path)).collect()
+    shares = {r.source: r for r in queries.p7_shares(spark, str(tmp_path)).collect()}
+    assert shares["tiny"].out_of_reach and not shares["big"].out_of_reach
+    assert [r.uses for r in uses if r.source == "tiny"] == [3]
+    assert sum(r.n_tokens * r.uses for r in uses) > 0.9 * sum(r.available_tokens for r in shares.values())
+    assert not any(r.out_of_reach for r in queries.p7_shares_in_reach(spark, str(tmp_path)).collect())
