@@ -145,6 +145,7 @@ PLANS: dict[str, Callable[[SparkSession, Graph], DataFrame]] = {
     "knows_weight": lambda x, g: g.friends,
     "topk": lambda x, g: relational.with_rank(g.post.select("id", "creation_ms"), [F.col("creation_ms").desc(), F.col("id").asc()], 50),
     "semi_join": lambda x, g: relational.semi(g.post.select("id", F.col("creator_id").alias("person_id")), g.person_interest.where("tag_id = 10"), "person_id"),
+    "semi_join_whole": lambda x, g: relational.semi(g.post.select("id", F.col("creator_id").alias("person_id")), g.person_interest, "person_id"),
     "anti_join": lambda x, g: relational.anti(g.person.select("id"), g.post.select(F.col("creator_id").alias("id")), "id"),
     "mark_join": lambda x, g: relational.mark(g.person.select("id"), g.work_at.select(F.col("person_id").alias("id")), "id", "works"),
     "argmax_per_group": lambda x, g: relational.arg_max(g.likes.select("person_id", "message_id", "creation_ms"), ["person_id"], [F.col("creation_ms").desc(), F.col("message_id").asc()]),

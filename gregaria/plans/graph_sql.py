@@ -245,6 +245,7 @@ SQL = {
     "knows_weight": _q("SELECT * FROM g_friends"),
     "topk": _q("SELECT id, creation_ms, row_number() OVER (ORDER BY creation_ms DESC, id) AS rank FROM g_post ORDER BY rank LIMIT 50"),
     "semi_join": _q("SELECT id, creator_id AS person_id FROM g_post WHERE creator_id IN (SELECT person_id FROM g_interest WHERE tag_id = 10)"),
+    "semi_join_whole": _q("SELECT id, creator_id AS person_id FROM g_post WHERE creator_id IN (SELECT person_id FROM g_interest)"),
     "anti_join": _q("SELECT id FROM g_person WHERE id NOT IN (SELECT creator_id FROM g_post)"),
     "mark_join": _q("SELECT id, id IN (SELECT person_id FROM g_work) AS works FROM g_person"),
     "argmax_per_group": _q("SELECT person_id, message_id, creation_ms FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY creation_ms DESC, message_id) AS turn FROM g_likes) WHERE turn = 1"),
