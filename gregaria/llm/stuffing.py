@@ -1,13 +1,19 @@
 """Keyword-stuffed and link-list pages, as robust outliers.
 
-Each document is measured by how many of its characters lie in unexplained
-links, strings of tags, keyword lists, lists of goods and keyword-stuffed
-sentences (densities), by the entropy and repetition of its words and by its
-share of function words. For every language the robust centre and scatter of
-these features over its distinct texts that are not dense give a Mahalanobis
-distance, so that neither copies nor a majority of spam become the norm. A document
-is spam if it is an outlier and lies in the spam-directed direction: its
-densities together exceed one half, the sense of the definition.
+A text is cut into lines, and each line is taken for links, for code or data
+(by its share of signs), for a sentence (by its function words) or for loose
+words. From these come six features: the share of characters in lines of
+recurring loose words or links (``density``), in links, of recurring words
+anywhere but in code (``repetition``), of words that are no function words, and
+of code and data, and the entropy of the words. None of them decides.
+
+For every language the robust centre and scatter of the features over its
+distinct texts give a Mahalanobis distance. A document is spam if its distance
+is large and its deviation points in the spam direction; both are gates, and a
+text far off in another direction (all code in a language of prose, say) fails
+the second. The centre of a language with few texts leans on that of the whole
+corpus, and bounds on centre and scale keep copies or a majority of spam from
+becoming the norm.
 """
 
 from __future__ import annotations
@@ -18,23 +24,29 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gregaria.operators.skew import skew_join
 from gregaria.sources.scratch import Scratch
 from gregaria.sources.tables import spread
 from gregaria.sources.workers import on_workers
 
-FEATURES = ["density", "links", "entropy", "repetition", "function_words"]
+FEATURES = ["density", "links", "entropy", "repetition", "no_function_words", "code"]
 # The side of each feature on which spam lies.
-SPAM_DIRECTION = [1, 1, -1, 1, -1]
-MIN_DENSITY = 0.5
-MIN_DISTANCE = 3.5
-SCALE_FLOOR = 0.05
-MAX_CENTRE = MIN_DENSITY / 2  # of density, so that a page above MIN_DENSITY is MIN_DISTANCE off in any language
-MAX_SCALE = (MIN_DENSITY - MAX_CENTRE) / MIN_DISTANCE
-LANGUAGE_SHARE = 1 / 1000
+SPAM_DIRECTION = [1, 1, -1, 1, 1, -1]
+MIN_DISTANCE = 5.5
+MIN_DIRECTION = 0.3
+# Bounds of what may be the norm of a language, and the least scale of each feature; no scale is above 1.3 times that.
+CENTRE_BOUNDS = [(0, 0.15), (0, 0.15), (0.8, 1), (0, 0.2), (0, 0.6), (0, 0.3)]
+SCALES = [0.1, 0.1, 0.1, 0.1, 0.25, 0.15]
+SCALE_RANGE = 1.3
+SHRINK = 0.3  # of the correlations towards none
+PRIOR_TEXTS = 50  # with so many texts a language counts as much as the corpus
+HOT_SHARE = 1 / 64
+BROADCAST_LANGUAGES = 10_000  # rows of less than a kilobyte
 
 # Function words of the larger languages, which sentences hold and keyword lists lack.
 FUNCTION_WORDS = frozenset(
@@ -48,246 +60,184 @@ FUNCTION_WORDS = frozenset(
     het een en van niet met voor zijn dat op
     i w z na do nie się jest że to dla
     ve bir bu için ile da de değil
-    и в на не что с по это для как но из у за от""".split()
+    и в на не что с по это для как но из у за от
+    的 了 是 在 和 不 我 你 这 這 有 也 就 与 與 及 或 为 為 把 被 从 從 会 會 能 は を が に で と も ที่ และ ของ เป็น ไม่ ได้ ใน จะ ให้""".split()
 )
-# Words that open a line of code which has no sign of code in it; none that is a common noun.
-CODE_OPENERS = frozenset("import from package return goto else elif fi done end break continue pass try".split())
-
-URL = re.compile(r"(?:(?:https?|ftp)://|\b(?=www\.[\w-]+\.\w))([^\s/\"'<>\])]+)[^\s\"'<>\])]*")
-SITE_FORMS = ("<loc>", "\"resolved\":", "resolved \"")
-ANCHOR = re.compile(r"<a\b[^>]*?href\s*=\s*[\"']?((?:(?:https?|ftp)://|www\.)[^\s\"'>]+)[\"']?[^>]*>(.*?)</a>", re.I | re.S)
-KEYWORDS_META = re.compile(r"<meta\b[^>]*?content\s*=\s*\"([^\"]*)\"[^>]*>", re.I)
-TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
-BB_LINK = re.compile(r"\[url=((?:(?:https?|ftp)://|www\.)[^\]]+)\](.*?)\[/url\]", re.I)
-MD_LINK = re.compile(r"\[([^\[\]]*)\]\(((?:(?:https?|ftp)://|www\.)[^\s()]+)\)")
-JSON_JOINT = re.compile(r"\{\"|\"\}|\": \"|\", \"")
-LEAD = re.compile(r"^(?:[\s>*•+\-]|//+|/\*+|--|#+(?=\s)|\"{3}|'{3}|<!--|\d+[.)]\s)+|(?:\*/|-->|\"{3}|'{3}|\s)+$")
-CODE = re.compile(r"[{}()=<>$\\\"`_\[\]~^]|[;:]$|\w\.\w+\.\w|::|\s:|^\S+:\s|&&|^\s*@|\+\+|[.#]\w[\w-]*\s*,|(?:^|\s)--?[a-zA-Z]")
-SURE_CODE = re.compile(r"[{}(\\`~^]")  # of the signs in CODE those that no wrapper, price or pair holds, to pass most lines of code by at once; lists are numbered with ")"
-PAIR = re.compile(r"(?:[\w<>]+ ){0,3}?[\"']?[\w.$@-]+(?: [\w-]+){0,2}[\"']?\s*(?::=|=>|[:=])\s*(?=\S)")
-STRING = re.compile(r"\"([^\"]*)\"|'([^']*)'")
-JOINTS = re.compile(r"[\s,;()\[\]{}+]*")
-UNDERSCORED = re.compile(r"[\w\s,;|/-]+")
+
+URL = re.compile(r"(?:(?:https?|ftp)://|\bwww\.(?=[\w-]+\.\w))([^\s/\"'<>\])]+)[^\s\"'<>\])]*")
+# A link that is the value of a field, such as an element other than an anchor, or a key that stands alone before it.
+FIELD = re.compile(r"(?:<(?!a\b)[\w:-]+>\s*|^\s*-?\s*[\w-]+\s*[:=]\s*|[\w-]+\"\s*:\s*\"|^\s*\w+ \")$")
+TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]*>")
+NAMED_LINK = re.compile(r"\[url=\s*\](.*?)\[/url\]|\[([^\[\]]*)\]\(\s*\)", re.I)
+LEAD = re.compile(r"^(?:[\s>*•+\-\ufeff]|//+|/\*+|--|#+(?=\s)|\"{3}|'{3}|<!--|\d+[.)]\s)+|(?:\*/|-->|\"{3}|'{3}|\s)+$")
+PAIR = re.compile(r"[{\[\s]*(?:[\w<>]+ ){0,3}?[\"']?([\w.$@-]+)[\"']?\s*(?::=|=>|[:=])\s*(?=\S)")
+ENCLOSING = " \t{}[](),;\"'`"
+STRUNG = re.compile(r"[\w\s,;|/-]+")
 WORD = re.compile(r"[^\W\d_]+")
-HASHTAGS = re.compile(r"(?:#[^\s#]*[^\W\d][^\s#]*\s*)+")
-DIRECTIVE = re.compile(r"#(?:end\w*|else|if\w*|define|include|pragma|undef|error|line|region)\b")
-GOODS = re.compile(r"(?:[$€£¥]\s?)?\d{1,9}[.,]\d\d\s*(?:[$€£¥]|[A-Z]{3})?$")
-SPLIT = re.compile(r"\s*[,;|/•·、，；]\s*|\s+[-–—*]\s+")
-# Scripts without spaces between words, the separators of phrases in them, and signs that sentences in them hold.
+SIGN = re.compile(r"[{}()\[\]=<>\\\"`~^&@%+]|\$(?!\d)|:|;(?=\S|$)|(?<!\d)\.(?=\w)|(?<=\w)_(?=\w)|(?<=[a-z])(?=[A-Z])|(?<=[^\W\d_])\d")
+SEPARATOR = re.compile(r"[,;|/•·*、，；]|\s[-–—]\s")
+HASHTAGS = re.compile(r"(?:^|(?<=[\s\"']))(?:#[^\s#\"{}:;]*[^\W\d_][^\s#\"{}:;]*\s*)+(?![{:;])")
+DIRECTIVE = re.compile(r"\s*#\s*(?:end\w*|else|if\w*|define|include|pragma|undef|error|line|region)\b")
+# Scripts without spaces between words, and signs that sentences in them hold.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f]+")
-PHRASES = re.compile(r"[\s,;|/•·・、，；*–—-]+")
 FUNCTION_SIGNS = re.compile("[的了是在和不我你这這有也就与與及或为為把被从從会會能はをがにでとも]|ที่|และ|ของ|เป็น|ไม่|ได้|ใน|จะ|ให้")
-SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 
+SENTENCE = re.compile(r"(?<=[.!?。])\s+|\s[-–—]\s+")
 
-def _words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+MAX_SIGNS = 0.08  # a letter, in text that is not code or data
+MIN_LETTERS = 0.5  # of the characters of text that is not data
+MIN_FUNCTION_WORDS = 0.12  # of the words of a sentence
+LINK_LINE = 0.3  # of the characters of a line of links
+RECURRING = 0.5  # of the words of a line, for the line to count as a string of recurring words
+SOME, OFTEN, HEAVY = 0.002, 0.01, 0.1  # of all words, for a word to recur, to recur often, and to make up sentences
+RECURRING_IN_PHRASES = 0.25  # the same for a line of phrases, not single words
 
 
 def _grams(line: str) -> list[str]:
     """The words of a line, those of scripts without spaces as pairs of characters."""
-    runs = UNSPACED.findall(line)
-    return _words(UNSPACED.sub(" ", line)) + [run[i : i + 2] for run in runs for i in range(max(1, len(run) - 1))]
-
-
-def _functional(words: list[str]) -> int:
-    return sum(map(FUNCTION_WORDS.__contains__, words))
-
-
-def _lines(text: str) -> list[str]:
-    """The lines of a text, with wrappers of markup and data opened and outside links in one notation."""
-    if "<" in text:
-        text = ANCHOR.sub(r"\n[\2](\1)\n", text)
-        text = KEYWORDS_META.sub(r"\n\1\n", text)
-        text = TAG.sub("\n", text)
-    if "[url=" in text:
-        text = BB_LINK.sub(r"[\2](\1)", text)
-    out: list[str] = []
-    for line in text.splitlines():
-        if line.lstrip("\ufeff \t")[:1] in ("{", "[") and JSON_JOINT.search(line):
-            out.extend(JSON_JOINT.sub("\n", line).replace("\\n", "\n").split("\n"))
-        else:
-            out.append(line)
-    return out
+    if line.isascii():
+        return WORD.findall(line.lower())
+    grams = WORD.findall(UNSPACED.sub(" ", line).lower())
+    for run in UNSPACED.findall(line):
+        for part in FUNCTION_SIGNS.split(run):
+            grams += [part[i : i + 2] for i in range(max(1, len(part) - 1))] if part else []
+        grams += FUNCTION_SIGNS.findall(run)
+    return grams
+
 
+def _size(text: str) -> int:
+    return len(text) - sum(map(text.count, " \n\t\r\ufeff"))
 
-def _opened(line: str) -> str:
-    """The words of a line with signs of code, if it is a value or literals of keywords or has few signs; else nothing."""
+
+def _bare(line: str, keys: Counter[str]) -> str:
+    """A line without what encloses it; of a field only its value, if that is a list or stands under a key that recurs."""
     pair = PAIR.match(line)
-    value = line[pair.end() :].rstrip(" ,;") if pair else line
-    if "\"" in value or "'" in value:
-        if not JOINTS.fullmatch(STRING.sub("", value)):
-            return ""  # an argument of a call, or broken
-        inner = ", ".join(a or b for a, b in STRING.findall(value))
-    else:
-        inner = value
-    if "_" in inner and UNDERSCORED.fullmatch(inner) and len(SPLIT.split(inner)) >= 3:
-        inner = inner.replace("_", " ")
-    words = _words(inner)
-    signs = len(CODE.findall(inner))
-    if signs:
-        if len(words) < 10 or 8 * signs > len(words):
-            return ""
-        inner = CODE.sub(" ", inner)
-    letters = sum(map(len, words))
-    if not words or letters < 0.8 * (len(inner) - inner.count(" ")) or len(words) < 12 and _functional(words) >= 2:
-        return ""
-    units = len([u for u in SPLIT.split(inner) if u])
-    if pair and units < 3 and len(words) < 12 and (units < 2 or len(set(words)) == len(words)):
-        return ""  # a field of data, not a list of its own
-    return inner.strip()
+    value = (line[pair.end() :] if pair else line).strip(ENCLOSING)
+    if pair and keys[pair[1]] < 8 and len(SEPARATOR.findall(value)) < 2:
+        return line
+    return value.replace("_", " ") if "_" in value and STRUNG.fullmatch(value) else value if pair or line[:1] in "\"'" else line
+
+
+class _Links:
+    """The links of a text by host, as characters and the words that name them."""
+
+    def __init__(self) -> None:
+        self.hosts: dict[str, list[tuple[float, set[str]]]] = {}
+
+    def add(self, found: list[re.Match], size: int, label: list[str]) -> None:
+        for m in found:
+            path = m[0][m.end(1) - m.start() :]
+            self.hosts.setdefault(m[1], []).append((size / len(found), {*label, *WORD.findall(path.lower())}))
+
+    def own_pages(self) -> float:
+        """Characters of links to a host with a third of all that are named by words of their own, as an index of pages is."""
+        n = sum(map(len, self.hosts.values()))
+        own = 0.0
+        for links in self.hosts.values():
+            if len(links) > 2 and 3 * len(links) >= n:
+                counts = Counter(w for _, words in links for w in words)
+                own += sum(size for size, words in links if any(counts[w] == 1 for w in words))
+        return own
 
 
 def profile(text: str | None) -> tuple[float, ...]:
-    """The values of ``FEATURES`` for a text: all 0, with entropy 1, for a null, empty or blank one.
+    """The values of ``FEATURES`` for a text: 0, with entropy 1, for a null, empty or blank one.
 
-    The whole text counts, whatever its length.
+    The whole text counts, whatever its length; markup counts as nothing.
     """
-    total = len(text) - sum(map(text.count, " \n\t\r")) if text else 0
-    if total <= 0:
-        return 0.0, 0.0, 1.0, 0.0, 0.0
-    links = tags = goods = 0
-    tag_lines = goods_lines = 0
-    hosts: dict[str, list[tuple[float, set[str]]]] = {}  # of each link its characters and the words of its page and text
-    lists: list[tuple[int, list[str], int]] = []  # characters, words, units of lines that are lists of phrases
-    unspaced: list[tuple[int, list[str], int]] = []  # the same of lines in scripts without spaces
-    prose: list[str] = []
-    all_words = functional = 0
-    for raw in _lines(text):
-        linked = "://" in raw or "www." in raw
-        if not linked and "#" not in raw and "\"" not in raw and "'" not in raw and SURE_CODE.search(raw):
+    if not text or text.isspace():
+        return 0.0, 0.0, 1.0, 0.0, 0.0, 0.0
+    lines = text.splitlines()
+    keys = Counter(m[1] for m in map(PAIR.match, lines) if m)
+    total = code = linked = text_letters = 0
+    links = _Links()
+    loose: list[tuple[int, list[str], float]] = []  # characters, words, least share of recurring words
+    words: list[str] = []
+    sentences: Counter[str] = Counter()
+    for line in lines:
+        found, data = [], 0
+        if "://" in line or "www." in line:
+            for m in URL.finditer(line):
+                if FIELD.search(line, 0, m.start()):
+                    data += len(m[0])
+                else:
+                    found.append(m)
+            line = URL.sub(" ", line)
+            if found:
+                line = NAMED_LINK.sub(r" \1\2 ", line)
+        if "<" in line:
+            line = TAG.sub(" ", line)
+        line = LEAD.sub("", line)
+        in_links = sum(len(m[0]) for m in found)
+        own = _size(line)
+        size = own + in_links
+        total += size + data
+        code += data
+        if not size:
             continue
-        line = LEAD.sub("", raw)
-        if not line:
-            continue
-        size = len(line) - line.count(" ")
-        if linked:
-            found = list(URL.finditer(line))
-            rest = URL.sub(" ", MD_LINK.sub(r" \1 \2 ", line)).strip(" :-–—|,;*\"'")
-            words = _words(rest)
-            f = _functional(words)
-            all_words += len(words)
-            functional += f
-            if not CODE.search(rest) and len(words) <= 12 * len(found) and f <= max(1, 0.12 * len(words)):
-                for m in found:
-                    hosts.setdefault(m[1], []).append((size / len(found), {*words, *_words(_page(m[0][m.end(1) - m.start() :]))}))
-                links += size
-                continue
-            line = rest
-            if not line:
-                continue
-            all_words -= len(words)
-            functional -= f
-        if line[0] == "#" and HASHTAGS.fullmatch(line) and not DIRECTIVE.match(line):
-            tags += size
-            tag_lines += line.count("#")
-            continue
-        price = GOODS.search(line)
-        if price and "," not in line[:-4] and not CODE.search(line[: price.start()]):
-            words = _words(line)
-            f = _functional(words)
-            if f < 2 and len(words) >= 3:
-                all_words += len(words)
-                functional += f
-                goods += size
-                goods_lines += 1
-                continue
-        if CODE.search(line):
-            line = _opened(line)
-            size = len(line) - line.count(" ")
-        words = _words(line)
-        if not words:
-            continue
-        f = _functional(words)
-        all_words += len(words)
-        functional += f
-        if f >= 2 and f >= 0.12 * len(words) or line[-1] in ".!?。":
-            prose.append(line)
-            continue
-        if words[0] in CODE_OPENERS and len(words) < 8:
-            continue
-        signs = "" if line.isascii() else "".join(UNSPACED.findall(line))
-        if len(signs) > 0.5 * size:
-            units = [u for u in PHRASES.split(line) if u]
-            longest = 40 if "\u0e00" <= signs[0] < "\u0e80" else 16  # Thai is spelt out
-            if max(map(len, units)) <= longest and len("".join(FUNCTION_SIGNS.findall(signs))) < 0.08 * len(signs):
-                unspaced.append((size, _grams(line), len(units)))
+        if not found:
+            bare = _bare(line, keys)
+            if bare is not line:
+                rest = _size(bare)
+                code += own - rest
+                line, own, size = bare, rest, rest
+        tagged = 0
+        if "#" in line and not DIRECTIVE.match(line):
+            tagged = sum(len(m[0].strip()) for m in HASHTAGS.finditer(line))
+            line = HASHTAGS.sub(lambda m: re.sub(r"[\W\d_]", " ", m[0]), line)
+            tagged = tagged if tagged > 0.8 * own else 0
+        grams = _grams(line)
+        letters, signs = sum(map(len, grams)), len(SIGN.findall(line))
+        functional = sum(map(FUNCTION_WORDS.__contains__, grams))
+        script = 0 if line.isascii() else len("".join(FUNCTION_SIGNS.findall(line)))
+        dense = bool(own) and (signs > MAX_SIGNS * letters or letters < MIN_LETTERS * own or line.find(";") == len(line) - 1)
+        if in_links >= LINK_LINE * size and found and (functional < 2 or functional < MIN_FUNCTION_WORDS * len(grams)) and not (dense and signs > 2 * len(found)):
+            links.add(found, size, grams)
+            linked += size
+            text_letters += letters
+            words += grams
+        elif dense or DIRECTIVE.match(line):
+            code += size
+        else:
+            text_letters += letters
+            ended = functional and line[-1:] in ".!?"
+            sentence = functional >= MIN_FUNCTION_WORDS * len(grams) and (functional >= 2 or ended) or script and script >= MAX_SIGNS * letters
+            if sentence:
+                sentences.update(SENTENCE.split(line))
             else:
-                prose.append(line)
-            continue
-        units = [u for u in SPLIT.split(line) if u]
-        named = [n for n in (len(WORD.findall(u)) for u in units) if n]
-        strung = max(named) > 8 and f <= 0.03 * len(words)  # phrases in a row, with nothing between
-        if len(named) >= 0.8 * len(units) and (strung or max(named) <= 8):
-            lists.append((size, words, max(len(units), len(words) // 4)))
+                words += grams
+                phrases = len(grams) >= 1.6 * (1 + len(SEPARATOR.findall(line)))
+                loose.append((size, grams, 0.0 if tagged else RECURRING_IN_PHRASES if phrases else RECURRING))
+    if not total:
+        return 0.0, 0.0, 1.0, 0.0, 0.0, 0.0
+    linked -= links.own_pages()
+    said = [(part, times, _grams(part)) for part, times in sentences.items()]
+    # a sentence counts once here, however often it is repeated: what recurs in different ones is a keyword
+    content = Counter(w for grams in (words, *(grams for *_, grams in said)) for w in grams if w not in FUNCTION_WORDS)
+    n = content.total()
+    some, often, heavy = ({w for w, c in content.items() if c >= max(least, share * n)} for least, share in ((2, SOME), (3, OFTEN), (3, HEAVY)))
+    strung = sum(size for size, grams, least in loose if sum(map(some.__contains__, grams)) >= least * len(grams))
+    again = sum(len(w) for w in words if w in often)
+    n_words, functional, prose = len(words), sum(map(FUNCTION_WORDS.__contains__, words)), 0
+    for part, times, grams in said:
+        own = [w for w in grams if w not in FUNCTION_WORDS]
+        n_words += times * len(grams)
+        functional += times * (len(grams) - len(own))
+        again += times * sum(len(w) for w in own if w in often)
+        if own and sum(map(heavy.__contains__, own)) >= RECURRING * len(own):
+            strung += times * _size(part)
         else:
-            prose.append(line)
-
-    n_links = sum(map(len, hosts.values()))
-    if n_links and sum(map(text.count, SITE_FORMS)) >= max(3, 0.5 * n_links):
-        links = 0  # a site map or a lock file
-    elif n_links:
-        most = max(hosts.values(), key=len)
-        if len(most) > max(2, 0.34 * n_links) and not _names_keywords([words for _, words in most]):
-            links -= sum(size for size, _ in most)  # the pages of one site
-    tags = tags if tag_lines >= 3 else 0
-    goods = goods if goods_lines >= 3 else 0
-    keywords = _list_characters(lists) + _list_characters(unspaced, 0.6)
-    stuffed, words = _stuffed_characters(prose, lists)
-    entropy, repetition = _word_spread([w for _, ws, _ in lists + unspaced for w in ws] + words)
-    density = min(1.0, (links + tags + goods + keywords + stuffed) / total)
-    return density, min(1.0, links / total), entropy, repetition, functional / max(1, all_words)
-
-
-def _page(path: str) -> str:
-    """The last part of a path, without its extension."""
-    name = path.partition("?")[0].partition("#")[0].rstrip("/").rpartition("/")[2]
-    return name.rpartition(".")[0] or name
-
-
-def _names_keywords(links: list[set[str]]) -> bool:
-    """Whether links to one host name their pages by phrases of which most words recur from link to link."""
-    counts = Counter(w for words in links for w in words)
-    n = sum(counts.values())
-    return n >= 2 * len(links) and sum(c for c in counts.values() if c > 1) >= 0.6 * n
-
-
-def _list_characters(lists: list[tuple[int, list[str], int]], least: float | None = None) -> int:
-    """Characters of lists that string keywords together: their words recur, within phrases or one by one, or in the share ``least``."""
-    counts = Counter(w for _, words, _ in lists for w in words)
-    n, units = sum(counts.values()), sum(u for _, _, u in lists)
-    if n < 8 or units < 4:
-        return 0
-    again = sum(c for c in counts.values() if c > 1) / n
-    if again < (least or (0.2 if n >= 1.6 * units else 0.6)):
-        return 0
-    return sum(size for size, words, units in lists if any(counts[w] > 1 for w in words))
-
-
-def _stuffed_characters(prose: list[str], lists: list[tuple[int, list[str], int]]) -> tuple[int, list[str]]:
-    """Characters of sentences that turn round the same few phrases, and the words of all sentences."""
-    sentences = [(s, _words(s)) for line in prose for s in SENTENCE.split(line)]
-    pairs: Counter[tuple[str, str]] = Counter()
-    for _, words in sentences:
-        pairs.update((a, b) for a, b in zip(words, words[1:]) if a not in FUNCTION_WORDS and b not in FUNCTION_WORDS)
-    flat = [w for _, words in sentences for w in words]
-    inside = Counter(p for _, words in sentences for p in set(zip(words, words[1:])) if p in pairs)
-    heavy = {p for p, c in pairs.items() if c >= 4 and c >= 0.6 * len(sentences) and c >= 1.2 * inside[p]}
-    if not heavy:
-        return 0, flat
-    held = [s for s, words in sentences if sum(p in heavy for p in zip(words, words[1:])) >= 1]
-    return sum(len(s) - s.count(" ") for s in held), flat
-
-
-def _word_spread(words: list[str]) -> tuple[float, float]:
-    """Entropy relative to that of words that are all different, and the share of the ten commonest."""
-    if len(words) < 2:
-        return 1.0, 0.0
-    counts = Counter(w for w in words if w not in FUNCTION_WORDS) or Counter(words)
-    n = sum(counts.values())
-    entropy = -sum(c / n * math.log(c / n) for c in counts.values())
-    top = sum(c for _, c in counts.most_common(10) if c > 1) / n
-    return (entropy / math.log(n) if n > 1 else 1.0), top
+            prose += times * sum(map(len, grams))
+    entropy = -sum(c / n * math.log(c / n) for c in content.values()) / math.log(n) if n > 1 else 1.0
+    # words among code, links and, for entropy, sentences count by their share of the text
+    return (
+        min(1.0, (strung + linked) / total),
+        min(1.0, linked / total),
+        1.0 - min(1.0, max(0, text_letters - prose) / total) * (1.0 - entropy),
+        min(1.0, again / total),
+        min(1.0, text_letters / total) * (1.0 - functional / max(1, n_words)),
+        min(1.0, code / total),
+    )
 
 
 def profile_texts(rows: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -302,65 +252,83 @@ def profile_texts(rows: DataFrame, keep: list[str], text: str = "text") -> DataF
     return on_workers(spread(rows.select(*keep, text))).mapInArrow(run, f"{kinds}, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
-def robust_scatter(profiles: DataFrame, group: str) -> DataFrame:
-    """For every group the medians, the scales, and the inverse of the winsorised correlation of ``FEATURES``.
+def _median(values) -> F.Column:
+    return F.percentile_approx(values, F.lit(0.5), F.lit(10_000))
 
-    Medians and median absolute deviations come from mergeable quantile
-    sketches over all rows; deviations are cut at 3 scales before their
-    products are averaged, so a minority of outliers moves neither. Centre and
-    scale of density are bounded.
-    """
-    middle = profiles.groupBy(group).agg(*(F.percentile_approx(f, F.lit(0.5), F.lit(10_000)).alias(f"m_{f}") for f in FEATURES))
-    middle = middle.withColumn("m_density", F.least("m_density", F.lit(MAX_CENTRE)))
-    off = profiles.join(F.broadcast(middle), group)
-    spread = off.groupBy(group).agg(*(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), F.lit(0.5), F.lit(10_000)).alias(f"s_{f}") for f in FEATURES))
-    spread = spread.withColumn("s_density", F.least("s_density", F.lit(MAX_SCALE / 1.4826)))
-    scaled = off.join(F.broadcast(spread), group)
-    z = {f: (F.col(f) - F.col(f"m_{f}")) / F.greatest(1.4826 * F.col(f"s_{f}"), F.lit(SCALE_FLOOR)) for f in FEATURES}
-    cut = {f: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z[f])) for f in FEATURES}
-    products = [F.avg(cut[a] * cut[b]).alias(f"c_{a}_{b}") for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
-    moments = scaled.groupBy(group).agg(*products, *(F.first(f"m_{f}").alias(f"m_{f}") for f in FEATURES), *(F.first(f"s_{f}").alias(f"s_{f}") for f in FEATURES))
-    rows = []
-    for r in moments.collect():  # a row a language, at most 1 / LANGUAGE_SHARE + 1
-        c = np.array([[r[f"c_{a}_{b}"] if f"c_{a}_{b}" in r else r[f"c_{b}_{a}"] for b in FEATURES] for a in FEATURES])
-        wide = np.sqrt(np.maximum(np.diag(c), 1.0))
-        c = c / np.outer(wide, wide)  # else a feature that varies more than its scale says would shrink its own deviations
-        inverse = np.linalg.inv(0.9 * c + 0.1 * max(1.0, np.trace(c) / len(c)) * np.eye(len(c)))
-        rows.append((r[group], [float(r[f"m_{f}"]) for f in FEATURES], [max(1.4826 * r[f"s_{f}"], SCALE_FLOOR) for f in FEATURES], [float(x) for x in inverse.ravel()]))
-    return profiles.sparkSession.createDataFrame(rows, f"`{group}` string, centre array<double>, scale array<double>, inverse array<double>")
 
+def _leaning(own: str, all_of: float) -> F.Column:
+    """A language's value drawn towards the corpus's, the more the fewer its texts."""
+    return (F.col(own) * F.col("n") + all_of * PRIOR_TEXTS) / (F.col("n") + PRIOR_TEXTS)
 
-def stuffed_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
-    """``key``, ``distance``, ``direction`` (a cosine) and ``FEATURES`` of the documents that are spam.
 
-    Whole texts are measured; null, empty and blank texts are never spam.
-    Repeated rows are each judged, rows with equal text and language alike. A
-    null language is a group of its own, and languages with less than a
-    thousandth of the documents share one, so the table of centres is short.
+def _with_group(rows: DataFrame, groups: DataFrame, group: str, n_groups: int) -> DataFrame:
+    """Rows with the values of their group: by broadcast for a number of groups that was counted to be small, else by shuffle with hot groups apart."""
+    return rows.join(F.broadcast(groups), group) if n_groups <= BROADCAST_LANGUAGES else skew_join(rows, groups, group, HOT_SHARE)
+
+
+def robust_scatter(profiles: DataFrame, group: str, n_groups: int) -> DataFrame:
+    """For every group the centres and scales of ``FEATURES`` and the inverse of their winsorised correlation.
+
+    Medians and median absolute deviations come from mergeable quantile
+    sketches over all rows; deviations are cut at 3 scales before their
+    products are averaged, so a minority of outliers moves neither. A row a
+    group; groups of any size are aggregated where their rows lie, and the
+    inverses are worked out by the tasks.
+    """
+    names = [(f, i) for i, f in enumerate(FEATURES)]
+    whole = profiles.agg(*(_median(f).alias(f) for f in FEATURES)).first()
+    if whole[0] is None:
+        whole = dict(zip(FEATURES, profile(None)))
+    middle = profiles.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *(_median(f).alias(f"m_{f}") for f in FEATURES))
+    middle = middle.select(group, "n", *(F.greatest(F.lit(float(CENTRE_BOUNDS[i][0])), F.least(F.lit(float(CENTRE_BOUNDS[i][1])), _leaning(f"m_{f}", whole[f]))).alias(f"m_{f}") for f, i in names))
+    off = _with_group(profiles.select(group, *FEATURES), middle, group, n_groups)
+    spread = off.groupBy(group).agg(*(_median(F.abs(F.col(f) - F.col(f"m_{f}"))).alias(f"s_{f}") for f in FEATURES))
+    spread = spread.select(group, *(F.greatest(F.lit(SCALES[i]), F.least(F.lit(SCALE_RANGE * SCALES[i]), 1.4826 * F.col(f"s_{f}"))).alias(f"s_{f}") for f, i in names))
+    scaled = _with_group(off, spread, group, n_groups)
+    cut = {f: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), (F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}"))) for f in FEATURES}
+    products = [F.avg(cut[a] * cut[b]) for a in FEATURES for b in FEATURES]
+    gathered = lambda letter: F.array(*(F.first(f"{letter}_{f}") for f in FEATURES))
+    moments = scaled.groupBy(group).agg(gathered("m").alias("centre"), gathered("s").alias("scale"), F.array(*products).alias("inverse"))
+
+    def invert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(inverse=[_inverse(np.array(c)).tolist() for c in frame["inverse"]])
+
+    return on_workers(moments).mapInPandas(invert, moments.schema)
+
+
+def _inverse(products: np.ndarray) -> np.ndarray:
+    """Inverse of the correlation behind the averaged products of deviations, as a flat array."""
+    c = products.reshape(len(FEATURES), -1)
+    wide = np.sqrt(np.maximum(np.diag(c), 1e-9))
+    return np.linalg.inv((1 - SHRINK) * c / np.outer(wide, wide) + SHRINK * np.eye(len(c))).ravel()
+
+
+def page_scores(documents: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
+    """``key``, ``distance``, ``direction`` (a cosine) and ``FEATURES`` of every document.
+
+    Whole texts are measured; null, empty and blank texts get the features of
+    an empty page. Repeated rows each come out, rows with equal text and
+    language with equal scores. A null language and an empty one are each a
+    language of their own. An empty table gives no rows.
     """
     scratch = Scratch(documents.sparkSession, "stuffing")
     # a copy under fixed names, so that other columns of any name do no harm
-    source = documents.select(F.col(key).alias("key"), F.coalesce(F.col(language), F.lit("")).alias("language"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    own = F.when(F.col(language).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(language)))
+    source = documents.select(F.col(key).alias("key"), own.alias("language"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
     profiles = scratch.write(profile_texts(source, ["key", "language", "hash"]), "profiles")
-    sizes = profiles.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
-    whole = profiles.count()
-    common = sizes.where(F.col("n") >= whole * LANGUAGE_SHARE).select("language", F.col("language").alias("own"))
-    grouped = profiles.join(F.broadcast(common), "language", "left").withColumn("own", F.coalesce("own", F.lit("other")))
-    usual = grouped.where(F.col("density") <= MIN_DENSITY).select("own", "hash", *FEATURES).dropDuplicates(["own", "hash"]).drop("hash")
-    blank = dict(zip(FEATURES, profile(None)))  # one a group, so that a language of nothing but spam has a centre
-    blanks = grouped.select("own").distinct().select("own", *(F.lit(v).alias(f) for f, v in blank.items()))
-    usual = scratch.write(usual.unionByName(blanks), "usual")
-    scored = grouped.join(F.broadcast(robust_scatter(usual, "own")), "own")
-    z = F.array(*((F.col(f) - F.col("centre")[i]) / F.col("scale")[i] for i, f in enumerate(FEATURES)))
-    towards = F.array(*(F.lit(float(s)) for s in SPAM_DIRECTION))
-    scored = scored.withColumn("z", z).withColumn("towards", towards)
+    distinct = scratch.write(profiles.select("language", "hash", *FEATURES).dropDuplicates(["language", "hash"]).drop("hash"), "distinct")
+    n_languages = distinct.select("language").distinct().count()
+    scatter = scratch.write(robust_scatter(distinct, "language", n_languages), "scatter")
+    scored = _with_group(profiles, scatter, "language", n_languages)
     n = range(len(FEATURES))
+    scored = scored.withColumn("z", F.array(*((F.col(f) - F.col("centre")[i]) / F.col("scale")[i] for i, f in enumerate(FEATURES))))
     distance = F.sqrt(F.greatest(sum(F.col("z")[i] * F.col("z")[j] * F.col("inverse")[i * len(FEATURES) + j] for i in n for j in n), F.lit(0.0)))
-    dot = lambda a, b: sum(F.col(a)[i] * F.col(b)[i] for i in n)
-    direction = dot("z", "towards") / F.sqrt(dot("towards", "towards") * F.greatest(dot("z", "z"), F.lit(1e-12)))
-    return (
-        scored.withColumn("distance", distance)
-        .withColumn("direction", direction)
-        .where((F.col("distance") >= MIN_DISTANCE) & (F.col("direction") > 0) & (F.col("density") > MIN_DENSITY))
-        .select(F.col("key").alias(key), "distance", "direction", *FEATURES)
-    )
+    along = sum(SPAM_DIRECTION[i] * F.col("z")[i] for i in n) / math.sqrt(len(FEATURES))
+    direction = along / F.sqrt(F.greatest(sum(F.col("z")[i] * F.col("z")[i] for i in n), F.lit(1e-12)))
+    return scored.select(F.col("key").alias(key), distance.alias("distance"), direction.alias("direction"), *FEATURES)
+
+
+def stuffed_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
+    """The rows of ``page_scores`` that are spam: outliers in the spam direction. Null, empty and blank texts never are."""
+    return page_scores(documents, key, text, language).where((F.col("distance") > MIN_DISTANCE) & (F.col("direction") > MIN_DIRECTION))
