@@ -24,7 +24,8 @@ CLOSING = {"[": "]", "(": ")", "{": "}", "<": ">"}
 
 
 def _unwrapped(field: str) -> str:
-    """Without brackets that enclose the whole field, any number of pairs."""
+    """Without white space around and brackets that enclose the whole field, any number of pairs."""
+    field = field.strip()
     while len(field) > 1 and CLOSING.get(field[0]) == field[-1]:
         depth, at, opened, closed = 0, 0, field[0], field[-1]
         while at < len(field):
@@ -38,14 +39,15 @@ def _unwrapped(field: str) -> str:
                 break
         if at < len(field) or depth:
             return field
-        field = field[1:-1]
+        field = field[1:-1].strip()
     return field
 
 
 def split_packed(field: str | None) -> list[tuple[int, str]]:
     """Positions (from 1) and values of a packed field.
 
-    A run of white space is one separator and joins a separator beside it.
+    White space around the whole field, and inside brackets around it, is no
+    separator. A run of white space elsewhere is one and joins a separator beside it.
     Between two separators, before a leading and after a trailing one lies an
     empty value, which takes a position but is not returned. Quotes around a
     whole value are dropped, around a part of one they stay; a quote without
@@ -86,7 +88,7 @@ def split_packed(field: str | None) -> list[tuple[int, str]]:
         # state: between values
         if at < end:
             at = SPACE.match(field, at).end()
-            if at < end and at >= 0 and not _opens_value(field, at):
+            if at < end and not _opens_value(field, at):
                 at = SPACE.match(field, at + 1).end()
             pos += 1
     return out

@@ -54,7 +54,31 @@ walk(tree, node, root, depth, path) AS (
   SELECT l.tree, l.node, w.root, w.depth + 1, w.path || '/' || l.node FROM walk AS w JOIN link AS l ON l.tree = w.tree AND l.parent = w.node)
 """
 
+# Values of packed fields: quoted ones, runs of signs of values and of quoted parts, and what lies between, in turn.
+PACKED = r"""
+WITH fields AS (
+  SELECT id AS person_id, f.name AS field_name, trim(f.value, ' ' || chr(9) || chr(10) || chr(13)) AS v
+  FROM (SELECT id, any_value(email) AS email, any_value(language) AS language FROM person WHERE id IS NOT NULL GROUP BY id),
+  LATERAL (VALUES ('email', email), ('language', language)) AS f(name, value)),
+bare AS (
+  SELECT person_id, field_name, CASE WHEN regexp_matches(regexp_replace(v, '"(?:[^"]|"")*"|''(?:[^'']|'''')*[()|](?:[^'']|'''')*''', 'q', 'g'), '^(\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}|<[^<>]*>)$') THEN v[2:-2] ELSE v END AS v FROM fields),
+tokens AS (
+  SELECT person_id, field_name,
+    regexp_extract_all(v, '''(?:[^'']|'''')*''(?:@[\p{L}\p{N}._+''@-]+)?|(?:"(?:[^"]|"")*"|[\p{L}\p{N}._+''@-])+|[^\p{L}\p{N}._+''@"-]+|"') AS found FROM bare),
+parts AS (SELECT person_id, field_name, unnest(found) AS part, generate_subscripts(found, 1) AS i FROM tokens),
+placed AS (
+  SELECT *, regexp_matches(part, '^[\p{L}\p{N}._+''@-]|^"(?s:.*)"') AS is_value,
+    sum(CASE WHEN regexp_matches(part, '^[\p{L}\p{N}._+''@-]|^"(?s:.*)"') THEN 0 ELSE greatest(1, length(regexp_replace(part, '\s', '', 'g'))) END)
+      OVER (PARTITION BY person_id, field_name ORDER BY i) AS before
+  FROM parts)
+"""
+
 SQL = {
+    "p4_found": PACKED + r"""
+        SELECT person_id, field_name, (before + 1)::BIGINT AS pos,
+          CASE WHEN regexp_full_match(part, '"(?:[^"]|"")*"') THEN replace(part[2:-2], '""', '"')
+               WHEN regexp_full_match(part, '''(?:[^'']|'''')*''') THEN replace(part[2:-2], '''''', '''') ELSE part END AS item
+        FROM placed WHERE is_value AND item <> ''""",
     "p1_found": FAULTS + "SELECT table_name, field_name, record_id, period FROM faults WHERE fault IS NOT NULL",
     "p1_report": FAULTS + "SELECT table_name, field_name, period, fault, count(*) AS n_records FROM faults WHERE fault IS NOT NULL GROUP BY ALL",
     "p2_found": KEYS + "SELECT table_name, field_name, key_id FROM keys WHERE is_heavy",

@@ -13,7 +13,7 @@ def plain(sign):
 
 def brute(field):
     """Sign by sign, for fields without double quotes, brackets and quoting apostrophes."""
-    values, value, at = [], "", 0
+    values, value, at, field = [], "", 0, field.strip()
     while at < len(field):
         if plain(field[at]):
             value += field[at]
@@ -38,8 +38,8 @@ def brute(field):
     [
         (None, []), ("", []), ("  ", []), (",", []), ("[]", []), ('""', []),
         ("a", [(1, "a")]), ("a;b", [(1, "a"), (2, "b")]), ("a; ;b", [(1, "a"), (3, "b")]), ("; a", [(2, "a")]), ("a;", [(1, "a")]),
-        (" a  ", [(2, "a")]), ("a  b", [(1, "a"), (2, "b")]), ("a,\nb c", [(1, "a"), (2, "b"), (3, "c")]), ("a\0b", [(1, "a"), (2, "b")]), ("a；；b", [(1, "a"), (3, "b")]),
-        ("[a;b]", [(1, "a"), (2, "b")]), ("{'a','b'}", [(1, "a"), (2, "b")]), (" (a;b)  ", [(2, "a"), (3, "b")]), ("((a))", [(1, "a")]), ("(a);(b)", [(2, "a"), (5, "b")]),
+        (" a  ", [(1, "a")]), (" / a / ", [(2, "a")]), ("[ a; b ]", [(1, "a"), (2, "b")]), ("a  b", [(1, "a"), (2, "b")]), ("a,\nb c", [(1, "a"), (2, "b"), (3, "c")]), ("a\0b", [(1, "a"), (2, "b")]), ("a；；b", [(1, "a"), (3, "b")]),
+        ("[a;b]", [(1, "a"), (2, "b")]), ("{'a','b'}", [(1, "a"), (2, "b")]), (" (a;b)  ", [(1, "a"), (2, "b")]), ("((a))", [(1, "a")]), ("(a);(b)", [(2, "a"), (5, "b")]),
         ('"x, y";z', [(1, "x, y"), (2, "z")]), ('"say ""hi"" now"', [(1, 'say "hi" now')]), ("'it''s; so'", [(1, "it's; so")]), ("'a \"b\" c'", [(1, 'a "b" c')]),
         ('"x, y"@m.test;b', [(1, '"x, y"@m.test'), (2, "b")]), ("'\"x y\"@m.test','b'", [(1, '"x y"@m.test'), (2, "b")]),
         ("o'brien@m.test", [(1, "o'brien@m.test")]), ("\"o'brien@m.test\",'b'", [(1, "o'brien@m.test"), (2, "b")]), ("[o'a@x,b,\"o'c@z\"]", [(1, "o'a@x"), (2, "b"), (3, "o'c@z")]),
