@@ -38,6 +38,13 @@ def friends(knows: DataFrame, posts: DataFrame, comments: DataFrame) -> DataFram
     return pairs.join(reply_weights(posts, comments), ["a", "b"], "left").fillna(0.0, ["weight"]).select("p1", "p2", "creation_ms", "weight")
 
 
+def direct_replies(comments: DataFrame) -> DataFrame:
+    parent = F.coalesce("reply_of_post", "reply_of_comment")
+    return comments.where(parent.isNotNull()).select(
+        parent.alias("parent_id"), F.col("reply_of_post").isNotNull().alias("parent_is_post"), "id", "creator_id", "creation_ms"
+    )
+
+
 @dataclass
 class Graph:
     """``tables`` holds at least those of ``schema.BASE``; derived ones are taken from it or computed when first asked for."""
@@ -92,5 +99,15 @@ class Graph:
             .unionByName(self.post.select(F.col("id").alias("message_id"), F.lit(True).alias("is_post"), F.col("id").alias("post_id")))
         )
 
+    @cached_property
+    def message_home(self) -> DataFrame:
+        """``id, is_post, creator_id`` of every message: finds, for an id, the place in the tables clustered by creator."""
+        return self.tables.get("message_home") or self.message.select("id", "is_post", "creator_id")
+
+    @cached_property
+    def replies(self) -> DataFrame:
+        """Direct replies by what they answer; a comment that names both a post and a comment answers the post."""
+        return self.tables.get("replies") or direct_replies(self.comment)
+
     def derived(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in DERIVED}

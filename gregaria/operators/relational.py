@@ -4,10 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+FEW_ROWS = 100_000  # rows of keys and numbers that may be held by the driver and sent to every task
+FEW_LITERALS = 1000
+
+
+class Few:
+    """Rows of which there may be few.
+
+    Up to ``FEW_ROWS`` are held as literals: other tables then meet them by a
+    filter at the scan or by broadcast, and no large table is shuffled for them.
+    Beyond that bound ``rows`` stays the plan it was and joins are ordinary ones.
+    """
+
+    def __init__(self, rows: DataFrame, table: pa.Table | None):
+        self.rows, self.table = rows, table
+
+    @classmethod
+    def of(cls, rows: DataFrame, bound: int | None = None) -> Few:
+        bound = FEW_ROWS if bound is None else bound
+        table = rows.limit(bound + 1).toArrow()
+        if table.num_rows > bound:
+            return cls(rows, None)
+        return cls(F.broadcast(rows.sparkSession.createDataFrame(table, rows.schema)), table)
+
+    def values(self, column: str) -> list | None:
+        """Distinct values but null, if they are held."""
+        return None if self.table is None else sorted(set(self.table.column(column).drop_null().to_pylist()))
+
+    def semi(self, other: DataFrame, on: str, column: str = "id") -> DataFrame:
+        """The rows of ``other`` whose ``on`` is among the values of ``column``; null is not."""
+        values = self.values(column)
+        if values is not None and len(values) <= FEW_LITERALS:
+            return other.where(F.col(on).isin(values)) if values else other.where(F.lit(False))
+        keys = self.rows.select(F.col(column).alias(on)).distinct()
+        return other.join(keys if values is None else F.broadcast(keys), on, "left_semi")
+
+
 
 def top_k(rows: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
     """The first ``limit`` rows of a total order; all, sorted, for None, and none for 0.
@@ -26,9 +63,15 @@ def with_rank(rows: DataFrame, order: Sequence[Column], limit: int | None) -> Da
     return in_order(top.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("bigint")), [F.col("rank")], limit)
 
 
+def first_few(rows: DataFrame, order: Sequence[Column], limit: int | None) -> Few:
+    """``with_rank``, held as literals if there is a limit of a size for that."""
+    top = with_rank(rows, order, limit)
+    return Few(top, None) if limit is None else Few.of(top)
+
+
 def in_order(rows: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
-    """Sorted rows; where a limit bounds their number in one task, without the sampling and exchange of a full sort."""
-    return rows.orderBy(*order) if limit is None else rows.coalesce(1).sortWithinPartitions(*order)
+    """Sorted rows; where a limit bounds their number by a heap in each task and one merge."""
+    return rows.orderBy(*order) if limit is None else rows.orderBy(*order).limit(max(0, limit))
 
 
 def arg_max(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

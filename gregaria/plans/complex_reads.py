@@ -2,7 +2,10 @@
 
 Each takes a graph and returns a table in a stated total order; with a limit
 the order is also the column ``rank``. An unknown person, tag or place gives no
-rows. Names and contents are joined after the top rows are known.
+rows. Only keys and what orders them are carried to the top rows; names and
+contents are looked up after. Frontiers and intermediate keys go through ``Few``:
+while they are short they filter the scans of the large tables, which then need
+no shuffle.
 """
 
 from __future__ import annotations
@@ -12,14 +15,15 @@ from pyspark.sql import functions as F
 
 from gregaria.functions.values import DAY_MS, born_around, minutes_between, ms_of_date, shown_content
 from gregaria.graph import Graph
-from gregaria.operators.relational import arg_max, count_if, in_order, mark, semi, sorted_lists, top_k, with_rank
+from gregaria.operators.relational import Few, arg_max, count_if, first_few, in_order, mark, semi, sorted_lists, top_k, with_rank
 from gregaria.operators.traversal import all_shortest_paths, bfs_levels, descend, first_step, multihop, ring, shortest_path
 
 asc, desc = (lambda c: F.col(c).asc()), (lambda c: F.col(c).desc())
 
 
-def _named(g: Graph, rows: DataFrame, key: str = "person_id", *extra: str) -> DataFrame:
-    return rows.join(g.person.select(F.col("id").alias(key), "first_name", "last_name", *extra), key)
+def _named(g: Graph, few: Few, key: str = "person_id") -> DataFrame:
+    """``few`` with the names of the persons in the column ``key``."""
+    return few.rows.join(few.semi(g.person, "id", key).select(F.col("id").alias(key), "first_name", "last_name"), key)
 
 
 def _rank(limit: int | None) -> list[str]:
@@ -28,36 +32,45 @@ def _rank(limit: int | None) -> list[str]:
 
 def ic1(g: Graph, person_id: int, first_name: str, limit: int | None = 20) -> DataFrame:
     """Persons of a first name within three steps, by distance, last name and id, with their places, schools and firms."""
-    near = bfs_levels(g.knows, person_id, 3).join(g.person.where(F.col("first_name") == first_name), "id")
+    near = Few.of(bfs_levels(g.knows, person_id, 3))
     order = [asc("distance"), asc("friend_last_name"), asc("friend_id")]
-    rows = near.select(
+    rows = near.rows.join(near.semi(g.person.where(F.col("first_name") == first_name), "id"), "id").select(
         F.col("id").alias("friend_id"), F.col("last_name").alias("friend_last_name"), F.col("level").alias("distance"), ms_of_date(F.col("birthday")).alias("birthday_ms"),
         "creation_ms", "gender", "browser_used", "location_ip", "emails", "languages", "city_id",
     )
-    top = with_rank(rows, order, limit)
+    top = first_few(rows, order, limit)
     place = g.place.select(F.col("id").alias("place_id"), F.col("name").alias("place_name"))
     orgs = g.org.select(F.col("id").alias("org_id"), F.col("name").alias("org_name"), "place_id").join(place, "place_id", "left")
 
     def held(table: DataFrame, year: str, prefix: str) -> DataFrame:
-        mine = semi(table.withColumnRenamed("person_id", "friend_id"), top.select("friend_id"), "friend_id").join(orgs, "org_id")
+        mine = top.semi(table.withColumnRenamed("person_id", "friend_id"), "friend_id", "friend_id").join(orgs, "org_id")
         return sorted_lists(mine, "friend_id", ["org_id", year], {f"{prefix}_name": "org_name", f"{prefix}_year": year, f"{prefix}_city": "place_name"})
 
-    out = top.join(g.place.select(F.col("id").alias("city_id"), F.col("name").alias("city_name")), "city_id", "left").drop("city_id")
+    out = top.rows.join(g.place.select(F.col("id").alias("city_id"), F.col("name").alias("city_name")), "city_id", "left").drop("city_id")
     out = out.join(held(g.study_at, "class_year", "uni"), "friend_id", "left").join(held(g.work_at, "work_from", "company"), "friend_id", "left")
     empty = {f"{p}_{c}": F.coalesce(f"{p}_{c}", F.array().cast("array<int>" if c == "year" else "array<string>")) for p in ("uni", "company") for c in ("name", "year", "city")}
     return in_order(out.withColumns(empty), order, limit)
 
 
-def _latest_messages(g: Graph, people: DataFrame, when, limit: int | None) -> DataFrame:
-    messages = semi(g.message.where(when).withColumnRenamed("creator_id", "person_id"), people.withColumnRenamed("id", "person_id"), "person_id")
-    rows = messages.select("person_id", F.col("id").alias("message_id"), shown_content(F.col("content"), F.col("image_file")).alias("content"), "creation_ms")
+def _with_content(g: Graph, top: Few, creator: str, *columns: str) -> DataFrame:
+    """``top`` with the shown content of its messages, found under their creators, by whom messages are clustered."""
+    found = top.semi(top.semi(g.message, "creator_id", creator), "id", "message_id")
+    content = found.select(F.col("id").alias("message_id"), "is_post", F.col("creator_id").alias(creator), shown_content(F.col("content"), F.col("image_file")).alias("content"))
+    return top.rows.join(content, ["message_id", "is_post", creator])
+
+
+def _latest_messages(g: Graph, people: Few, when, limit: int | None) -> DataFrame:
+    messages = people.semi(g.message.where(when), "creator_id")
+    rows = messages.select(F.col("creator_id").alias("person_id"), F.col("id").alias("message_id"), "is_post", "creation_ms")
     order = [desc("creation_ms"), asc("message_id")]
-    return in_order(_named(g, with_rank(rows, order, limit)), order, limit)
+    top = first_few(rows, [*order, desc("is_post")], limit)
+    out = _with_content(g, top, "person_id").join(top.semi(g.person, "id", "person_id").select(F.col("id").alias("person_id"), "first_name", "last_name"), "person_id")
+    return in_order(out.select("person_id", "message_id", "content", "creation_ms", *_rank(limit), "first_name", "last_name"), order, limit)
 
 
 def ic2(g: Graph, person_id: int, max_ms: int, limit: int | None = 20) -> DataFrame:
     """Latest messages of friends up to and including a time."""
-    return _latest_messages(g, first_step(g.knows, person_id), F.col("creation_ms") <= max_ms, limit)
+    return _latest_messages(g, Few.of(first_step(g.knows, person_id)), F.col("creation_ms") <= max_ms, limit)
 
 
 def ic3(g: Graph, person_id: int, country_x: str, country_y: str, start_ms: int, days: int, limit: int | None = 20) -> DataFrame:
@@ -65,42 +78,43 @@ def ic3(g: Graph, person_id: int, country_x: str, country_y: str, start_ms: int,
     ids = dict(g.place.where((F.col("type") == "country") & F.col("name").isin(country_x, country_y)).groupBy("name").agg(F.max("id")).collect())
     x, y = ids.get(country_x, -1), ids.get(country_y, -1)  # an unknown country is in no message, so no count is above 0
     span = g.message.where((F.col("creation_ms") >= start_ms) & (F.col("creation_ms") < start_ms + days * DAY_MS))
-    homes = g.person.join(g.place.select(F.col("id").alias("city_id"), "part_of"), "city_id").select("id", "part_of")
-    people = semi(homes, multihop(g.knows, person_id, 2), "id")
-    people = people.where(F.col("part_of").isNull() | ~F.col("part_of").isin(x, y))
-    sent = semi(span.where(F.col("country_id").isin(x, y)).select(F.col("creator_id").alias("id"), "country_id"), people, "id")
+    near = Few.of(multihop(g.knows, person_id, 2)).semi(g.person, "id")
+    homes = near.join(g.place.select(F.col("id").alias("city_id"), "part_of"), "city_id")
+    people = Few.of(homes.where(F.col("part_of").isNull() | ~F.col("part_of").isin(x, y)).select("id"))
+    sent = people.semi(span.where(F.col("country_id").isin(x, y)), "creator_id").select(F.col("creator_id").alias("id"), "country_id")
     counts = sent.groupBy("id").agg(
         count_if(F.col("country_id") == x).cast("int").alias("x_count"), count_if(F.col("country_id") == y).cast("int").alias("y_count")
     ).where("x_count > 0 and y_count > 0")
     rows = counts.select(F.col("id").alias("person_id"), "x_count", "y_count", (F.col("x_count") + F.col("y_count")).alias("count"))
     order = [desc("x_count"), asc("person_id")]
-    return in_order(_named(g, with_rank(rows, order, limit)), order, limit)
+    return in_order(_named(g, first_few(rows, order, limit)), order, limit)
 
 
 def ic4(g: Graph, person_id: int, start_ms: int, days: int, limit: int | None = 20) -> DataFrame:
     """Tags that friends' posts carry in a span of days and carried never before."""
-    posts = g.post.where(F.col("creation_ms") < start_ms + days * DAY_MS).select(F.col("id").alias("post_id"), F.col("creator_id").alias("id"), "creation_ms")
-    mine = semi(posts, first_step(g.knows, person_id), "id")
-    counts = mine.join(g.post_tag, "post_id").groupBy("tag_id").agg(F.count(F.lit(1)).cast("int").alias("post_count"), F.min("creation_ms").alias("first_ms")).where(F.col("first_ms") >= start_ms)
+    posts = g.post.where(F.col("creation_ms") < start_ms + days * DAY_MS)
+    mine = Few.of(Few.of(first_step(g.knows, person_id)).semi(posts, "creator_id").select(F.col("id").alias("post_id"), "creation_ms"))
+    counts = mine.rows.join(g.post_tag, "post_id").groupBy("tag_id").agg(F.count(F.lit(1)).cast("int").alias("post_count"), F.min("creation_ms").alias("first_ms")).where(F.col("first_ms") >= start_ms)
     rows = counts.join(g.tag.select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name")), "tag_id").select("tag_name", "post_count")
     return with_rank(rows, [desc("post_count"), asc("tag_name")], limit)
 
 
 def ic5(g: Graph, person_id: int, min_ms: int, limit: int | None = 20) -> DataFrame:
     """Forums that persons within two steps joined after a time, by the posts of those members there."""
-    joined = semi(g.member_posts.where(F.col("join_ms") > min_ms).withColumnRenamed("person_id", "id"), multihop(g.knows, person_id, 2), "id")
+    joined = Few.of(multihop(g.knows, person_id, 2)).semi(g.member_posts.where(F.col("join_ms") > min_ms), "person_id")
     rows = joined.groupBy("forum_id").agg(F.sum("posts").cast("int").alias("post_count"))
     order = [desc("post_count"), asc("forum_id")]
-    return in_order(with_rank(rows, order, limit).join(g.forum.select(F.col("id").alias("forum_id"), F.col("title").alias("forum_title")), "forum_id"), order, limit)
+    top = first_few(rows, order, limit)
+    titles = top.semi(g.forum, "id", "forum_id").select(F.col("id").alias("forum_id"), F.col("title").alias("forum_title"))
+    return in_order(top.rows.join(titles, "forum_id"), order, limit)
 
 
 def ic6(g: Graph, person_id: int, tag_name: str, limit: int | None = 20) -> DataFrame:
     """Tags that occur together with a tag on posts of persons within two steps."""
-    wanted = g.tag.where(F.col("name") == tag_name).agg(F.max("id").alias("tag_id"))
-    tagged = semi(g.post_tag, wanted, "tag_id").select("post_id")
-    posts = semi(g.post.select(F.col("id").alias("post_id"), F.col("creator_id").alias("id")), tagged, "post_id")
-    mine = semi(posts, multihop(g.knows, person_id, 2), "id").select("post_id")
-    others = semi(g.post_tag, mine, "post_id").join(wanted, "tag_id", "left_anti")
+    wanted = Few.of(g.tag.where(F.col("name") == tag_name).agg(F.max("id").alias("tag_id")))
+    posts = Few.of(Few.of(multihop(g.knows, person_id, 2)).semi(g.post, "creator_id").select(F.col("id").alias("post_id")))
+    tagged = Few.of(posts.semi(wanted.semi(g.post_tag, "tag_id", "tag_id"), "post_id", "post_id").select("post_id"))
+    others = tagged.semi(g.post_tag, "post_id", "post_id").join(wanted.rows, "tag_id", "left_anti")
     counts = others.groupBy("tag_id").agg(F.count(F.lit(1)).cast("int").alias("post_count"))
     rows = counts.join(g.tag.select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name")), "tag_id").select("tag_name", "post_count")
     return with_rank(rows, [desc("post_count"), asc("tag_name")], limit)
@@ -108,14 +122,13 @@ def ic6(g: Graph, person_id: int, tag_name: str, limit: int | None = 20) -> Data
 
 def ic7(g: Graph, person_id: int, limit: int | None = 20) -> DataFrame:
     """The latest like of each person who liked this person's messages; the lowest message id among likes of one time."""
-    mine = g.message.where(F.col("creator_id") == person_id).select(
-        F.col("id").alias("message_id"), "is_post", F.col("creation_ms").alias("sent_ms"), shown_content(F.col("content"), F.col("image_file")).alias("content")
-    )
-    liked = g.likes.select("person_id", "message_id", "is_post", F.col("creation_ms").alias("like_ms")).join(mine, ["message_id", "is_post"])
-    latest = arg_max(liked, ["person_id"], [desc("like_ms"), asc("message_id")])
+    mine = Few.of(g.message.where(F.col("creator_id") == person_id).select(F.col("id").alias("message_id"), "is_post", F.col("creation_ms").alias("sent_ms"), "creator_id"))
+    likes = mine.semi(g.likes, "message_id", "message_id").select("person_id", "message_id", "is_post", F.col("creation_ms").alias("like_ms"))
+    latest = arg_max(likes.join(mine.rows, ["message_id", "is_post"]), ["person_id"], [desc("like_ms"), asc("message_id")])
     order = [desc("like_ms"), asc("person_id")]
-    top = mark(with_rank(latest, order, limit), first_step(g.knows, person_id).withColumnRenamed("id", "person_id"), "person_id", "is_friend")
-    rows = _named(g, top)
+    top = first_few(latest, order, limit)
+    marked = mark(_with_content(g, top, "creator_id"), first_step(g.knows, person_id).withColumnRenamed("id", "person_id"), "person_id", "is_friend")
+    rows = marked.join(top.semi(g.person, "id", "person_id").select(F.col("id").alias("person_id"), "first_name", "last_name"), "person_id")
     out = rows.select(
         "person_id", "first_name", "last_name", "like_ms", "message_id", "content", minutes_between(F.col("sent_ms"), F.col("like_ms")).alias("minutes_latency"),
         (~F.col("is_friend")).alias("is_new"), *_rank(limit),
@@ -125,28 +138,28 @@ def ic7(g: Graph, person_id: int, limit: int | None = 20) -> DataFrame:
 
 def ic8(g: Graph, person_id: int, limit: int | None = 20) -> DataFrame:
     """Latest direct replies to a person's messages."""
-    posts = g.post.where(F.col("creator_id") == person_id).select(F.col("id").alias("reply_of_post"))
-    comments = g.comment.where(F.col("creator_id") == person_id).select(F.col("id").alias("reply_of_comment"))
-    own = lambda df: df.select(F.col("creator_id").alias("person_id"), F.col("creation_ms").alias("comment_ms"), F.col("id").alias("comment_id"), "content")
-    # a comment that names both a post and a comment answers the post
-    rows = own(semi(g.comment, posts, "reply_of_post")).unionByName(own(semi(g.comment.where("reply_of_post is null"), comments, "reply_of_comment")))
+    mine = Few.of(g.message.where(F.col("creator_id") == person_id).select(F.col("id").alias("parent_id"), F.col("is_post").alias("parent_is_post")))
+    replies = mine.semi(g.replies, "parent_id", "parent_id").join(mine.rows, ["parent_id", "parent_is_post"], "left_semi")
     order = [desc("comment_ms"), asc("comment_id")]
-    return in_order(_named(g, with_rank(rows, order, limit)), order, limit)
+    top = first_few(replies.select(F.col("creator_id").alias("person_id"), F.col("creation_ms").alias("comment_ms"), F.col("id").alias("comment_id")), order, limit)
+    content = top.semi(top.semi(g.comment, "creator_id", "person_id"), "id", "comment_id").select(F.col("id").alias("comment_id"), "content")
+    return in_order(_named(g, top).join(content, "comment_id").select("person_id", "comment_ms", "comment_id", "content", *_rank(limit), "first_name", "last_name"), order, limit)
 
 
 def ic9(g: Graph, person_id: int, max_ms: int, limit: int | None = 20) -> DataFrame:
     """Latest messages of persons within two steps, before a time."""
-    return _latest_messages(g, multihop(g.knows, person_id, 2), F.col("creation_ms") < max_ms, limit)
+    return _latest_messages(g, Few.of(multihop(g.knows, person_id, 2)), F.col("creation_ms") < max_ms, limit)
 
 
 def ic10(g: Graph, person_id: int, month: int, limit: int | None = 10) -> DataFrame:
     """Persons exactly two steps away, born around a month's end, by posts of shared interest less other posts."""
-    people = semi(g.person.where(born_around(F.col("birthday"), month)), ring(g.knows, person_id, 2), "id")
-    tags = g.person_interest.where(F.col("person_id") == person_id).select("tag_id")
-    posts = semi(g.post.select(F.col("id").alias("post_id"), F.col("creator_id").alias("id")), people.select("id"), "id")
-    shared = mark(posts, semi(g.post_tag, tags, "tag_id").select("post_id"), "post_id", "shared")
-    scores = shared.groupBy("id").agg(F.sum(F.when(F.col("shared"), 1).otherwise(-1)).cast("int").alias("score"))
-    rows = people.join(scores, "id", "left").select(
+    born = Few.of(ring(g.knows, person_id, 2)).semi(g.person.where(born_around(F.col("birthday"), month)), "id")
+    people = Few.of(born.select("id", "first_name", "last_name", "gender", "city_id"))
+    tags = Few.of(g.person_interest.where(F.col("person_id") == person_id).select("tag_id"))
+    posts = Few.of(people.semi(g.post, "creator_id").select(F.col("id").alias("post_id"), F.col("creator_id").alias("id")))
+    shared = Few.of(posts.semi(tags.semi(g.post_tag, "tag_id", "tag_id"), "post_id", "post_id").select("post_id").distinct())
+    scores = mark(posts.rows, shared.rows, "post_id", "shared").groupBy("id").agg(F.sum(F.when(F.col("shared"), 1).otherwise(-1)).cast("int").alias("score"))
+    rows = people.rows.join(scores, "id", "left").select(
         F.col("id").alias("person_id"), "first_name", "last_name", F.coalesce("score", F.lit(0)).alias("common_interest_score"), "gender", "city_id"
     )
     order = [desc("common_interest_score"), asc("person_id")]
@@ -158,11 +171,10 @@ def ic11(g: Graph, person_id: int, country: str, before_year: int, limit: int |
     """Persons within two steps who began work in a country before a year."""
     where = g.place.where((F.col("name") == country) & (F.col("type") == "country")).agg(F.max("id").alias("place_id"))
     orgs = semi(g.org.select(F.col("id").alias("org_id"), F.col("name").alias("organization_name"), "place_id"), where, "place_id").drop("place_id")
-    jobs = g.work_at.where(F.col("work_from") < before_year).join(orgs, "org_id")
-    mine = semi(jobs.withColumnRenamed("person_id", "id"), multihop(g.knows, person_id, 2), "id")
-    rows = mine.select(F.col("id").alias("person_id"), "organization_name", "work_from").distinct()
+    jobs = Few.of(multihop(g.knows, person_id, 2)).semi(g.work_at.where(F.col("work_from") < before_year), "person_id")
+    rows = jobs.join(orgs, "org_id").select("person_id", "organization_name", "work_from").distinct()
     order = [asc("work_from"), asc("person_id"), desc("organization_name")]
-    return in_order(_named(g, with_rank(rows, order, limit)), order, limit)
+    return in_order(_named(g, first_few(rows, order, limit)), order, limit)
 
 
 def tags_below(g: Graph, class_name: str) -> DataFrame:
@@ -175,12 +187,13 @@ def tags_below(g: Graph, class_name: str) -> DataFrame:
 def ic12(g: Graph, person_id: int, class_name: str, limit: int | None = 20) -> DataFrame:
     """Friends by their comments directly on posts with a tag of a class, with those tags."""
     tags = tags_below(g, class_name)
-    comments = g.comment.where("reply_of_post is not null").select(F.col("id").alias("comment_id"), F.col("creator_id").alias("id"), F.col("reply_of_post").alias("post_id"))
-    mine = semi(comments, first_step(g.knows, person_id), "id")
-    hits = mine.join(semi(g.post_tag, tags, "tag_id"), "post_id").join(g.tag.select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name")), "tag_id")
+    comments = Few.of(first_step(g.knows, person_id)).semi(g.comment.where("reply_of_post is not null"), "creator_id")
+    mine = Few.of(comments.select(F.col("id").alias("comment_id"), F.col("creator_id").alias("id"), F.col("reply_of_post").alias("post_id")))
+    tagged = mine.semi(Few.of(tags).semi(g.post_tag, "tag_id", "tag_id"), "post_id", "post_id")
+    hits = mine.rows.join(tagged, "post_id").join(g.tag.select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name")), "tag_id")
     counts = hits.groupBy("id").agg(F.array_sort(F.collect_set("tag_name")).alias("tag_names"), F.count_distinct("comment_id").cast("int").alias("reply_count"))
     order = [desc("reply_count"), asc("person_id")]
-    return in_order(_named(g, with_rank(counts.withColumnRenamed("id", "person_id"), order, limit)), order, limit)
+    return in_order(_named(g, first_few(counts.withColumnRenamed("id", "person_id"), order, limit)), order, limit)
 
 
 def _both_known(g: Graph, a: int, b: int) -> bool:

@@ -29,15 +29,19 @@ EDGES = {
     "work_at": "person_id bigint, org_id bigint, work_from int",
 }
 BASE = VERTICES | EDGES
-#: Kept with the base tables in a snapshot and recomputed when those change.
+#: Kept with the base tables in a snapshot and changed with them: weights and counters, and short tables clustered for reads by other keys.
 DERIVED = {
     "friends": "p1 bigint, p2 bigint, creation_ms bigint, weight double",
     "member_posts": "forum_id bigint, person_id bigint, join_ms bigint, posts bigint",
     "message_root": "message_id bigint, is_post boolean, post_id bigint",
+    "message_home": "id bigint, is_post boolean, creator_id bigint",
+    "replies": "parent_id bigint, parent_is_post boolean, id bigint, creator_id bigint, creation_ms bigint",
 }
+#: Keys of the tables whose rows may be replaced; all others only grow.
+REPLACED = {"likes": ["person_id", "message_id", "is_post"], "forum_member": ["forum_id", "person_id"], "knows": ["p1", "p2"], "friends": ["p1", "p2"], "member_posts": ["forum_id", "person_id"]}
 #: The column by which a snapshot clusters each large table, so that point reads skip most row groups.
 CLUSTER = {
     "post": "creator_id", "comment": "creator_id", "knows": "p1", "friends": "p1", "likes": "message_id", "forum_member": "person_id",
     "member_posts": "person_id", "post_tag": "tag_id", "comment_tag": "comment_id", "person": "id", "work_at": "org_id", "study_at": "person_id",
-    "message_root": "message_id", "person_interest": "person_id",
+    "message_root": "message_id", "person_interest": "person_id", "message_home": "id", "replies": "parent_id",
 }
