@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gregaria.functions.values import reply_weight
-from gregaria.operators.hierarchy import Forest, resolve_forest
+from gregaria.operators.hierarchy import resolve_forest
 from gregaria.operators.skew import skew_join
 from gregaria.schema import BASE, DERIVED
+from gregaria.sources.scratch import Scratch
 
 HOT_SHARE = 1 / 64
 
@@ -47,11 +48,17 @@ def direct_replies(comments: DataFrame) -> DataFrame:
 
 @dataclass
 class Graph:
-    """``tables`` holds at least those of ``schema.BASE``; derived ones are taken from it or computed when first asked for."""
+    """``tables`` holds at least those of ``schema.BASE``; derived ones are taken from it or computed when first asked for.
+
+    ``changes`` are the rows by which a graph differs from the stored version
+    ``origin`` (folder, number) that it was made of.
+    """
 
     spark: SparkSession
     tables: dict[str, DataFrame]
-    _held: list[Forest] = field(default_factory=list)
+    changes: dict[str, DataFrame] = field(default_factory=dict)
+    origin: tuple[str, int] | None = None
+    _held: list[Scratch] = field(default_factory=list)
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -63,6 +70,11 @@ class Graph:
         """A graph with some base tables replaced; nothing derived is carried over."""
         return Graph(self.spark, {k: v for k, v in self.tables.items() if k in BASE} | tables)
 
+    def release(self) -> None:
+        """Removes the written tables that this graph's own tables read; it can't be used after."""
+        while self._held:
+            self._held.pop().drop()
+
     @cached_property
     def message(self) -> DataFrame:
         """Posts and comments. If an id is both, both are there; point reads prefer the post."""
@@ -90,7 +102,7 @@ class Graph:
             F.coalesce("reply_of_comment", F.expr("-1 - reply_of_post")).alias("parent"),
         ).where("parent is not null")
         forest = resolve_forest(links)
-        self._held.append(forest)
+        self._held.append(forest.scratch)
         comments = forest.nodes.where("depth > 0 and root < 0").select(F.col("node").alias("message_id"), F.expr("-1 - root").alias("post_id"))
         known = self.post.select(F.col("id").alias("post_id"))
         return (

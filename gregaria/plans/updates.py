@@ -4,9 +4,14 @@
 graph; the old one stays as it is. Within a batch the kinds are applied in the
 order of their dependence, and comments that answer comments of the same batch
 in any depth. Requests whose referents are missing, and repeated ids, do
-nothing. Friendships, memberships and likes are upserts: the latest wins.
-Derived tables (posts of a member, weight of a friendship, thread roots) are
-computed anew from the base, which always gives what increments would.
+nothing. Friendships, memberships and likes are upserts: the latest time wins,
+within a batch and against what is stored; at equal times what is stored stays.
+
+Accepted rows are written once and gathered in ``Graph.changes``. Where the
+graph holds its derived tables (posts of a member, weight of a friendship, thread
+roots, places of messages, replies) they are changed by what the batch adds to
+them; rows of the stored tables are read by the keys that the batch touches.
+Else they are derived from the base as always.
 """
 
 from __future__ import annotations
@@ -16,10 +21,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gregaria.graph import Graph
+from gregaria.functions.values import reply_weight
+from gregaria.graph import HOT_SHARE, Graph, direct_replies, member_posts
 from gregaria.operators.hierarchy import resolve_forest
-from gregaria.operators.relational import anti, arg_max, semi
-from gregaria.schema import BASE
+from gregaria.operators.relational import Few, anti, arg_max, semi
+from gregaria.operators.skew import skew_join
+from gregaria.schema import BASE, CLUSTER, DERIVED, REPLACED
 from gregaria.sources.scratch import Scratch
 
 _JOBS = "array<struct<org_id:bigint,year:int>>"
@@ -46,22 +53,55 @@ def _fresh(requests: DataFrame, key: str, table: DataFrame) -> DataFrame:
     return arg_max(anti(requests.where(F.col(key).isNotNull()), _ids(table, key), key), [key], order)
 
 
-def _kept(rows: DataFrame) -> DataFrame:
+def _kept(g: Graph, rows: DataFrame) -> DataFrame:
     """Accepted requests as a written table: several tables are made of them, and reads of those need not accept them again."""
-    return Scratch(rows.sparkSession, "accepted").write(rows, "rows")
+    scratch = Scratch(rows.sparkSession, "accepted")
+    g._held.append(scratch)
+    return scratch.write(rows, "rows")
+
+
+def _with(g: Graph, name: str, table: DataFrame, changes: DataFrame) -> Graph:
+    """``g`` with another table; base tables replace what would be derived from them, but for derived tables that are held."""
+    return Graph(g.spark, g.tables | {name: table}, g.changes | {name: changes}, g.origin, g._held)
+
+
+def _shaped(name: str, rows: DataFrame) -> DataFrame:
+    kinds = [part.split(" ", 1) for part in (BASE | DERIVED)[name].split(", ")]
+    return rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds))
 
 
 def _append(g: Graph, name: str, rows: DataFrame) -> Graph:
-    kinds = [part.split(" ", 1) for part in BASE[name].split(", ")]
-    shaped = rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds))
-    return g.with_tables(**{name: g.tables[name].unionByName(shaped)})
+    if name not in g.tables:
+        return g
+    shaped = _shaped(name, rows)
+    return _with(g, name, g.tables[name].unionByName(shaped), g.changes[name].unionByName(shaped) if name in g.changes else shaped)
+
+
+def _replace(g: Graph, name: str, rows: DataFrame) -> Graph:
+    """``rows``, at most one a key, in place of those of the same keys."""
+    keys = REPLACED[name]
+    shaped = _shaped(name, rows)
+    touched = Few.of(shaped.select(*keys)).rows
+    without = lambda table: table.join(touched, keys, "left_anti").unionByName(shaped)
+    return _with(g, name, without(g.tables[name]), without(g.changes[name]) if name in g.changes else shaped)
+
 
+def _stored(g: Graph, name: str, keys: DataFrame) -> DataFrame:
+    """The rows of a table with the keys of ``keys``."""
+    on = REPLACED[name]
+    few = Few.of(keys.select(*on).distinct())
+    first = CLUSTER[name] if CLUSTER[name] in on else on[0]
+    return semi(few.semi(g.tables[name], first, first), few.rows, on)
 
-def _upsert(g: Graph, name: str, keys: list[str], rows: DataFrame, at: str) -> Graph:
-    """Rows replace those of the same key; of several in the batch the latest counts."""
+
+def _upsert(g: Graph, name: str, rows: DataFrame, at: str) -> tuple[Graph, DataFrame]:
+    """The graph with ``rows`` that are newer than those of the same key, of several in the batch the latest, and those rows."""
+    keys = REPLACED[name]
     columns = [part.split(" ", 1)[0] for part in BASE[name].split(", ")]
-    latest = arg_max(rows.select(*columns), keys, [F.col(at).desc()])
-    return g.with_tables(**{name: anti(g.tables[name], latest.select(*keys), keys).unionByName(latest)})
+    latest = _kept(g, arg_max(rows.select(*columns), keys, [F.col(at).desc()]))
+    known = _stored(g, name, latest).groupBy(*keys).agg(F.max(at).alias("_known"))
+    newer = _kept(g, latest.join(known, keys, "left").where(f"_known is null or {at} > _known").drop("_known"))
+    return _replace(g, name, newer), newer
 
 
 def _tagged(g: Graph, name: str, owner: str, rows: DataFrame) -> Graph:
@@ -71,7 +111,7 @@ def _tagged(g: Graph, name: str, owner: str, rows: DataFrame) -> Graph:
 
 
 def add_persons(g: Graph, requests: DataFrame) -> Graph:
-    rows = _kept(_fresh(requests, "person_id", g.person))
+    rows = _kept(g, _fresh(requests, "person_id", g.person))
     cities = _ids(g.place, "city_id").distinct().withColumn("known_city", F.col("city_id"))
     new = rows.join(cities, "city_id", "left").select("*", F.col("person_id").alias("id")).withColumns({"languages": F.array_sort("languages"), "city_id": F.col("known_city")})
     out = _tagged(_append(g, "person", new), "person_interest", "person_id", rows)
@@ -84,7 +124,7 @@ def add_persons(g: Graph, requests: DataFrame) -> Graph:
 def _likes(g: Graph, requests: DataFrame, key: str, messages: DataFrame, is_post: bool) -> Graph:
     rows = semi(semi(requests, _ids(g.person, "person_id"), "person_id"), _ids(messages, key), key)
     rows = rows.select("person_id", F.col(key).alias("message_id"), F.lit(is_post).alias("is_post"), "creation_ms")
-    return _upsert(g, "likes", ["person_id", "message_id", "is_post"], rows, "creation_ms")
+    return _upsert(g, "likes", rows, "creation_ms")[0]
 
 
 def like_posts(g: Graph, requests: DataFrame) -> Graph:
@@ -96,21 +136,32 @@ def like_comments(g: Graph, requests: DataFrame) -> Graph:
 
 
 def add_forums(g: Graph, requests: DataFrame) -> Graph:
-    rows = semi(_fresh(requests, "forum_id", g.forum), _ids(g.person, "person_id"), "person_id")
+    rows = _kept(g, semi(_fresh(requests, "forum_id", g.forum), _ids(g.person, "person_id"), "person_id"))
     new = rows.select(F.col("forum_id").alias("id"), "title", "creation_ms", F.col("person_id").alias("moderator_id"))
     return _tagged(_append(g, "forum", new), "forum_tag", "forum_id", rows)
 
 
 def add_members(g: Graph, requests: DataFrame) -> Graph:
     rows = semi(semi(requests, _ids(g.person, "person_id"), "person_id"), _ids(g.forum, "forum_id"), "forum_id")
-    return _upsert(g, "forum_member", ["forum_id", "person_id"], rows.withColumnRenamed("creation_ms", "join_ms"), "join_ms")
+    out, newer = _upsert(g, "forum_member", rows.withColumnRenamed("creation_ms", "join_ms"), "join_ms")
+    if "member_posts" not in g.tables:
+        return out
+    members = Few.of(newer.select("forum_id", "person_id", "join_ms"))
+    return _replace(out, "member_posts", member_posts(members.rows, members.semi(g.post, "creator_id", "person_id")))
 
 
 def add_posts(g: Graph, requests: DataFrame) -> Graph:
     rows = semi(semi(_fresh(requests, "post_id", g.post), _ids(g.person, "person_id"), "person_id"), _ids(g.forum, "forum_id"), "forum_id")
-    rows = semi(rows, _ids(g.place, "country_id"), "country_id")
+    rows = _kept(g, semi(rows, _ids(g.place, "country_id"), "country_id"))
     new = rows.withColumnsRenamed({"post_id": "id", "person_id": "creator_id"})
-    return _tagged(_append(g, "post", new), "post_tag", "post_id", rows)
+    out = _tagged(_append(g, "post", new), "post_tag", "post_id", rows)
+    out = _append(out, "message_home", new.select("id", F.lit(True).alias("is_post"), "creator_id"))
+    out = _append(out, "message_root", new.select(F.col("id").alias("message_id"), F.lit(True).alias("is_post"), F.col("id").alias("post_id")))
+    if "member_posts" not in g.tables:
+        return out
+    more = rows.groupBy("forum_id", "person_id").agg(F.count(F.lit(1)).alias("more"))
+    raised = _stored(g, "member_posts", more).join(more, ["forum_id", "person_id"]).withColumn("posts", F.col("posts") + F.col("more"))
+    return _replace(out, "member_posts", _kept(g, raised.drop("more")))
 
 
 def add_comments(g: Graph, requests: DataFrame) -> Graph:
@@ -123,25 +174,68 @@ def add_comments(g: Graph, requests: DataFrame) -> Graph:
     anchored = F.col("known_post").isNotNull() | F.col("known_comment").isNotNull()
     links = rows.where(~anchored & F.col("in_batch")).select(F.lit("batch").alias("tree"), F.col("comment_id").alias("node"), F.col("reply_comment_id").alias("parent"))
     forest = resolve_forest(links)
-    g._held.append(forest)
+    g._held.append(forest.scratch)
     tops = rows.where(anchored).select("comment_id")
     below = semi(forest.nodes.select(F.col("node").alias("comment_id"), F.col("root")), tops.withColumnRenamed("comment_id", "root"), "root").select("comment_id")
     rows = semi(rows, tops.unionByName(below), "comment_id")
     # a parent from this batch counts only if it is accepted itself
     kept = rows.select(F.col("comment_id").alias("reply_comment_id"), F.lit(True).alias("kept"))
     rows = rows.join(kept, "reply_comment_id", "left")
-    rows = _kept(rows)
+    rows = _kept(g, rows)
     new = rows.select(
         F.col("comment_id").alias("id"), "creation_ms", "location_ip", "browser_used", "content", F.col("person_id").alias("creator_id"), "country_id",
         F.col("known_post").alias("reply_of_post"), F.coalesce("known_comment", F.when(F.col("kept"), F.col("reply_comment_id"))).alias("reply_of_comment"),
     )
-    return _tagged(_append(g, "comment", new), "comment_tag", "comment_id", rows)
+    out = _tagged(_append(g, "comment", new), "comment_tag", "comment_id", rows)
+    replies = direct_replies(new)
+    out = _append(_append(out, "replies", replies), "message_home", new.select("id", F.lit(False).alias("is_post"), "creator_id"))
+    if "message_root" in g.tables:
+        out = _append(out, "message_root", _kept(g, _new_roots(g, new)))
+    if "friends" in g.tables:
+        more = _kept(g, _weights(out, replies))
+        both = more.select(F.col("a").alias("p1"), F.col("b").alias("p2"), F.col("weight").alias("more"))
+        both = both.unionByName(more.where("a <> b").select(F.col("b").alias("p1"), F.col("a").alias("p2"), F.col("weight").alias("more")))
+        raised = _stored(g, "friends", both).join(both, ["p1", "p2"]).withColumn("weight", F.col("weight") + F.col("more"))
+        out = _replace(out, "friends", _kept(g, raised.drop("more")))
+    return out
+
+
+def _new_roots(g: Graph, new: DataFrame) -> DataFrame:
+    """``message_id, is_post, post_id`` of new comments: those that answer each other are led to one that answers what is stored, and so to its post."""
+    inside = semi(new.select(F.col("id").alias("node"), F.col("reply_of_comment").alias("parent")), new.select(F.col("id").alias("parent")), "parent")
+    forest = resolve_forest(inside.withColumn("tree", F.lit("batch")))
+    g._held.append(forest.scratch)
+    tops = new.select(F.col("id").alias("root"), "reply_of_comment", "reply_of_post").join(inside.select(F.col("node").alias("root")), "root", "left_anti")
+    answered = Few.of(tops.where("reply_of_comment is not null").select("reply_of_comment").distinct())
+    roots = answered.semi(g.message_root.where("not is_post"), "message_id", "reply_of_comment").select(F.col("message_id").alias("reply_of_comment"), "post_id")
+    posts = tops.join(roots, "reply_of_comment", "left").select("root", F.when(F.col("reply_of_comment").isNull(), F.col("reply_of_post")).otherwise(F.col("post_id")).alias("post_id"))
+    members = forest.nodes.where("depth > 0").select(F.col("node").alias("message_id"), "root").unionByName(tops.select(F.col("root").alias("message_id"), "root"))
+    return members.join(posts, "root").where("post_id is not null").select("message_id", F.lit(False).alias("is_post"), "post_id")
+
+
+def _weights(g: Graph, replies: DataFrame) -> DataFrame:
+    """``a, b, weight`` of direct replies, by whom they join."""
+    answered = Few.of(replies.select("parent_id").distinct())
+    homes = answered.semi(g.message_home, "id", "parent_id").select(F.col("id").alias("parent_id"), F.col("is_post").alias("parent_is_post"), F.col("creator_id").alias("author"))
+    homes = homes.dropDuplicates(["parent_id", "parent_is_post"])
+    rows = skew_join(replies, homes, ["parent_id", "parent_is_post"], HOT_SHARE) if answered.table is None else replies.join(homes, ["parent_id", "parent_is_post"])
+    pair = [F.least("creator_id", "author").alias("a"), F.greatest("creator_id", "author").alias("b")]
+    return rows.where("creator_id is not null and author is not null").groupBy(*pair).agg(F.sum(reply_weight(F.col("parent_is_post"))).alias("weight"))
 
 
 def add_friendships(g: Graph, requests: DataFrame) -> Graph:
     rows = semi(semi(requests, _ids(g.person, "person_id"), "person_id"), _ids(g.person, "person2_id"), "person2_id").where("person_id <> person2_id")
     ways = lambda a, b: rows.select(F.col(a).alias("p1"), F.col(b).alias("p2"), "creation_ms")
-    return _upsert(g, "knows", ["p1", "p2"], ways("person_id", "person2_id").unionByName(ways("person2_id", "person_id")), "creation_ms")
+    out, newer = _upsert(g, "knows", ways("person_id", "person2_id").unionByName(ways("person2_id", "person_id")), "creation_ms")
+    if "friends" not in g.tables:
+        return out
+    known = _stored(g, "friends", newer).select("p1", "p2", "weight")
+    rated = _kept(g, newer.join(known, ["p1", "p2"], "left"))
+    pairs = rated.where("weight is null").select(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")).distinct()
+    people = Few.of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    weights = semi(_weights(g, direct_replies(people.semi(g.comment, "creator_id"))), pairs, ["a", "b"]).withColumnRenamed("weight", "found")
+    rated = rated.withColumns({"a": F.least("p1", "p2"), "b": F.greatest("p1", "p2")}).join(weights, ["a", "b"], "left")
+    return _replace(out, "friends", _kept(g, rated.withColumn("weight", F.coalesce("weight", "found", F.lit(0.0)))))
 
 
 STEPS = {

@@ -28,7 +28,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A set of tables in the shared folder, removed when superseded or when the process ends."""
+    """A set of tables in the shared folder, removed when superseded, dropped, or when the process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -42,6 +42,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str | None = None) -> None:
+        """Removes one table, or all of them for good."""
+        if name is None:
+            atexit.unregister(self.drop)
         try:
             jvm = self.spark._jvm
             path = jvm.org.apache.hadoop.fs.Path(self.root if name is None else f"{self.root}/{name}")

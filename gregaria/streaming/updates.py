@@ -1,7 +1,8 @@
 """Updates as a stream: files of requests in, graph versions out.
 
-Every micro-batch is applied to the newest version and stored as the next. The
-number of the last batch is kept beside the versions, so a batch that is
+Every micro-batch is applied to the newest version, and its changes are stored as
+the next, so a batch costs what it changes; many changes are merged now and then.
+The number of the last batch is kept beside the versions, so a batch that is
 delivered again after a failure changes nothing. Late events need no watermark:
 reads order by time themselves, and upserts compare times.
 """
@@ -35,7 +36,10 @@ def apply_batch(rows: DataFrame, batch: int, root: str, stream: str = "updates",
     rows = rows.persist()  # each kind of request filters it
     try:
         if not rows.isEmpty():
-            snapshot.save(apply_updates(snapshot.open_version(spark, root), split_updates(rows)), root)
+            updated = apply_updates(snapshot.open_version(spark, root), split_updates(rows))
+            snapshot.append(updated, root)
+            updated.release()
+            snapshot.fold(spark, root)
         _mark(spark, root, stream, batch)
     finally:
         rows.unpersist()

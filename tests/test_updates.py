@@ -4,8 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import micro
+from gregaria.graph import Graph
+from gregaria.operators import relational
 from gregaria.plans import short_reads as s
 from gregaria.plans.updates import REQUESTS, apply_updates, split_updates, wide_schema
+from gregaria.schema import BASE, DERIVED
 from gregaria.sources import snapshot
 from gregaria.sources.csv_graph import load_csv
 from gregaria.streaming.updates import apply_batch, stream_updates
@@ -116,3 +119,78 @@ def test_a_batch_delivered_again_changes_nothing(spark, g, tmp_path):
     apply_batch(rows.limit(0), 1, root)
     apply_batch(rows, 0, root)
     assert snapshot.versions(spark, root) == [1, 2]
+
+
+def batch_of_all(spark, n=0):
+    """Requests of every kind that touch each other and what is stored; ``n`` sets apart the new ids of batches."""
+    k = 1000 * n
+    return {
+        "iu1": request(spark, "iu1", person(70 + k)),
+        "iu2": request(spark, "iu2", {"person_id": 70 + k, "post_id": 101, "creation_ms": NOW}, {"person_id": 2, "post_id": 105, "creation_ms": NOW - 10**12}),
+        "iu3": request(spark, "iu3", {"person_id": 9, "comment_id": 201, "creation_ms": NOW + n}),
+        "iu4": request(spark, "iu4", {"forum_id": 600 + k, "title": "F", "creation_ms": NOW, "person_id": 2, "tag_ids": [51]}),
+        "iu5": request(spark, "iu5", {"person_id": 2, "forum_id": 600 + k, "creation_ms": NOW}, {"person_id": 4, "forum_id": 61, "creation_ms": NOW}, {"person_id": 2, "forum_id": 61, "creation_ms": 5}, {"person_id": 3, "forum_id": 61, "creation_ms": NOW + n}),
+        "iu6": request(spark, "iu6", *({"post_id": i + k, "person_id": 2, "forum_id": f, "country_id": 11, "content": "x", "creation_ms": NOW, "tag_ids": [52]} for i, f in ((700, 600 + k), (701, 61)))),
+        "iu7": request(
+            spark, "iu7", comment(801 + k, post_id=700 + k), comment(802 + k, person_id=1, reply_comment_id=801 + k), comment(803 + k, person_id=8, post_id=105), comment(804 + k, person_id=4, reply_comment_id=203),
+            comment(805 + k, person_id=3, reply_comment_id=204, post_id=101), comment(806 + k, person_id=2, post_id=101, reply_comment_id=807 + k), comment(807 + k, person_id=2, post_id=101, reply_comment_id=806 + k),
+        ),
+        "iu8": request(spark, "iu8", {"person_id": 8, "person2_id": 1, "creation_ms": NOW}, {"person_id": 2, "person2_id": 1, "creation_ms": 5}, {"person_id": 70 + k, "person2_id": 2, "creation_ms": NOW}, {"person_id": 3, "person2_id": 4, "creation_ms": NOW + n}),
+    }
+
+
+def contents(g):
+    return {name: sorted(str(tuple(r)) for r in getattr(g, name).collect()) for name in [*BASE, *DERIVED]}
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_changes_as_derived_anew(spark, g, few, monkeypatch, tmp_path):
+    """Derived tables changed by increments are those derived from the base, over batches, stored versions and folds."""
+    monkeypatch.setattr(relational, "FEW_ROWS", few)
+    root = f"file://{tmp_path}/graph"
+    snapshot.save(g, root)
+    plain = Graph(spark, {name: g.tables[name] for name in BASE})
+    for n in range(2):
+        plain = apply_updates(plain, batch_of_all(spark, n))
+        changed = apply_updates(snapshot.open_version(spark, root), batch_of_all(spark, n))
+        stored = snapshot.append(changed, root)
+    assert contents(stored) == contents(plain)
+    with pytest.raises(snapshot.ConcurrentWrite):
+        snapshot.append(changed, root)
+    folded = snapshot.fold(spark, root, max_changes=0)
+    assert folded.origin[1] == 4 and contents(folded) == contents(plain)
+    snapshot.compact(spark, root)
+    assert snapshot.versions(spark, root) == [4] and contents(snapshot.open_version(spark, root)) == contents(plain)
+
+
+def test_older_upserts_change_nothing(spark, g, tmp_path):
+    root = f"file://{tmp_path}/graph"
+    snapshot.save(g, root)
+    late = lambda ms: {"iu8": request(spark, "iu8", {"person_id": 8, "person2_id": 1, "creation_ms": ms}), "iu2": request(spark, "iu2", {"person_id": 8, "post_id": 101, "creation_ms": ms})}
+    for ms, expected in ((50, 50), (40, 50), (60, 60), (60, 60)):
+        now = snapshot.append(apply_updates(snapshot.open_version(spark, root), late(ms)), root)
+        assert {r.creation_ms for r in now.knows.where("p1 in (1, 8) and p2 in (1, 8)").collect()} == {expected}
+        assert [r.creation_ms for r in now.likes.where("person_id = 8 and message_id = 101").collect()] == [expected]
+
+
+def test_a_batch_writes_no_more_than_it_changes(spark, g, tmp_path):
+    root = f"file://{tmp_path}/graph"
+    copies = g.post.select(*(F.expr("explode(sequence(1000000, 1100000))").alias("id") if c == "id" else F.col(c) for c in g.post.columns)).withColumn("id", F.col("id").cast("bigint"))
+    many = g.with_tables(post=g.post.unionByName(copies.where("creator_id = 3")))
+    snapshot.save(many, root)
+    size = lambda: sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    before = size()
+    rows = spark.createDataFrame([json.dumps({"op": "iu6", "post_id": 5, "person_id": 2, "forum_id": 61, "country_id": 11, "content": "x", "creation_ms": NOW})], "string").select(F.from_json("value", wide_schema()).alias("r")).select("r.*")
+    apply_batch(rows, 0, root, keep=9)
+    assert size() - before < before / 20
+    assert snapshot.open_version(spark, root).post.where("id = 5").count() == 1
+
+
+def test_a_writer_that_fails_leaves_nothing(spark, g, tmp_path):
+    root = f"file://{tmp_path}/graph"
+    snapshot.save(g, root)
+    bad = Graph(spark, g.tables, {"post": g.post.withColumn("content", F.raise_error(F.lit("no")))}, snapshot.open_version(spark, root).origin)
+    folders = len(list((tmp_path / "graph/data").iterdir()))
+    with pytest.raises(Exception, match="no"):
+        snapshot.append(bad, root)
+    assert snapshot.versions(spark, root) == [1] and len(list((tmp_path / "graph/data").iterdir())) == folders
