@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from gregaria.functions.values import reply_weight
 from gregaria.graph import HOT_SHARE, Graph, direct_replies, member_posts
+from gregaria.operators import relational
 from gregaria.operators.hierarchy import resolve_forest
 from gregaria.operators.relational import Few, anti, arg_max, semi
 from gregaria.operators.skew import skew_join
@@ -190,7 +191,9 @@ def add_comments(g: Graph, requests: DataFrame) -> Graph:
     replies = direct_replies(new)
     out = _append(_append(out, "replies", replies), "message_home", new.select("id", F.lit(False).alias("is_post"), "creator_id"))
     if "message_root" in g.tables:
-        out = _append(out, "message_root", _kept(g, _new_roots(g, new)))
+        # comments that answer both a stored message and one of the batch are rare; without any the links are those resolved above
+        n_rows, n_mixed = rows.agg(F.count(F.lit(1)), F.count_if(anchored & F.col("kept"))).first()
+        out = _append(out, "message_root", _new_roots(g, new, None if n_mixed else forest.nodes, n_rows))
     if "friends" in g.tables:
         more = _kept(g, _weights(out, replies))
         both = more.select(F.col("a").alias("p1"), F.col("b").alias("p2"), F.col("weight").alias("more"))
@@ -200,16 +203,19 @@ def add_comments(g: Graph, requests: DataFrame) -> Graph:
     return out
 
 
-def _new_roots(g: Graph, new: DataFrame) -> DataFrame:
+def _new_roots(g: Graph, new: DataFrame, nodes: DataFrame | None, n_new: int) -> DataFrame:
     """``message_id, is_post, post_id`` of new comments: those that answer each other are led to one that answers what is stored, and so to its post."""
     inside = semi(new.select(F.col("id").alias("node"), F.col("reply_of_comment").alias("parent")), new.select(F.col("id").alias("parent")), "parent")
-    forest = resolve_forest(inside.withColumn("tree", F.lit("batch")))
-    g._held.append(forest.scratch)
+    if nodes is None:
+        forest = resolve_forest(inside.withColumn("tree", F.lit("batch")))
+        g._held.append(forest.scratch)
+        nodes = forest.nodes
     tops = new.select(F.col("id").alias("root"), "reply_of_comment", "reply_of_post").join(inside.select(F.col("node").alias("root")), "root", "left_anti")
-    answered = Few.of(tops.where("reply_of_comment is not null").select("reply_of_comment").distinct())
-    roots = answered.semi(g.message_root.where("not is_post"), "message_id", "reply_of_comment").select(F.col("message_id").alias("reply_of_comment"), "post_id")
+    answered = tops.where("reply_of_comment is not null").select(F.col("reply_of_comment").alias("message_id")).distinct()
+    answered = F.broadcast(answered) if n_new <= relational.FEW_ROWS else answered
+    roots = semi(g.message_root.where("not is_post"), answered, "message_id").select(F.col("message_id").alias("reply_of_comment"), "post_id")
     posts = tops.join(roots, "reply_of_comment", "left").select("root", F.when(F.col("reply_of_comment").isNull(), F.col("reply_of_post")).otherwise(F.col("post_id")).alias("post_id"))
-    members = forest.nodes.where("depth > 0").select(F.col("node").alias("message_id"), "root").unionByName(tops.select(F.col("root").alias("message_id"), "root"))
+    members = nodes.where("depth > 0").select(F.col("node").alias("message_id"), "root").unionByName(tops.select(F.col("root").alias("message_id"), "root"))
     return members.join(posts, "root").where("post_id is not null").select("message_id", F.lit(False).alias("is_post"), "post_id")
 
 

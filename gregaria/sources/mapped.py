@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gregaria.functions.values import ms_of_timestamp
 from gregaria.graph import Graph
 from gregaria.schema import BASE
+from gregaria.sources.scratch import Scratch
 from gregaria.sources.tables import read_table
 
 COMMENT_BASE = 10_000_000
@@ -25,6 +26,17 @@ def _shaped(df: DataFrame, name: str) -> DataFrame:
     return df.select(*columns)
 
 
+def numbered(values: DataFrame, column: str, name: str, scratch: Scratch) -> DataFrame:
+    """Distinct values with their number in order, from 0: numbered within ranges, which then are shifted by the sizes of those before."""
+    ranges = values.repartitionByRange(column).withColumn("_range", F.spark_partition_id())
+    ranges = scratch.write(ranges, f"ranges_{name}")
+    sizes = sorted(ranges.groupBy("_range").count().collect())  # a row a partition
+    before = {r: sum(n for _, n in sizes[:i]) for i, (r, n) in enumerate(sizes)}
+    shift = F.create_map(*(F.lit(x).cast("bigint") for pair in before.items() for x in pair)) if before else F.lit(None).cast("map<bigint,bigint>")
+    within = F.row_number().over(W.partitionBy("_range").orderBy(column)) - 1
+    return ranges.select(column, (within + shift[F.col("_range").cast("bigint")]).alias(name))
+
+
 def load_mapped(spark: SparkSession, directory: str) -> Graph:
     """The graph of ``customer, supplier, part, orders, lineitem, nation, region, events`` below ``directory``."""
     region, nation, customer, supplier, part, orders, lineitem, events = (
@@ -42,19 +54,20 @@ def load_mapped(spark: SparkSession, directory: str) -> Graph:
     org = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr(
         "s_suppkey as id", "if(s_suppkey % 2 = 0, 'company', 'university') as type", "s_name as name", f"{COUNTRY_BASE} + n_regionkey as place_id"
     )
-    # names of parts and of their classes are small dimensions, numbered in one task
+    scratch = Scratch(spark, "mapping")
     names = part.select("p_name").where("p_name is not null").distinct()
-    named = names.select("p_name", (F.dense_rank().over(W.orderBy("p_name")) - 1).alias("tag_id"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("noun"))
+    named = scratch.write(numbered(names, "p_name", "tag_id", scratch).withColumn("noun", F.split_part("p_name", F.lit(" "), F.lit(2))), "named")
     nouns = named.select("noun").distinct()
     chain = nouns.selectExpr("noun as name", "concat('Len', length(noun)) as parent").unionByName(nouns.selectExpr("concat('Len', length(noun)) as name", "'Product' as parent").distinct())
     chain = chain.unionByName(nouns.selectExpr("'Product' as name", "cast(null as string) as parent").distinct())
-    classes = chain.select("name", "parent", (F.dense_rank().over(W.orderBy("name")) - 1).alias("id"))
+    classes = chain.join(numbered(chain.select("name").distinct(), "name", "id", scratch), "name").select("name", "parent", "id")
     tagclass = classes.join(classes.select(F.col("name").alias("parent"), F.col("id").alias("parent_id")), "parent", "left").select("id", "name", "parent_id")
     tag = named.join(classes.select(F.col("name").alias("noun"), F.col("id").alias("class_id")), "noun").selectExpr("tag_id as id", "p_name as name", "class_id")
     forum = supplier.selectExpr("s_suppkey as id", "s_name as title", f"{FIRST_MS} + s_suppkey * 60000 as creation_ms", "s_suppkey as moderator_id")
 
     customers = customer.select(F.col("c_custkey").alias("l_partkey"))
-    by_person = lineitem.join(customers, "l_partkey", "left_semi")
+    by_person = lineitem.join(customers, "l_partkey", "left_semi").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
+    by_person = scratch.write(by_person, "by_person")  # six tables are made of it
     shipped = ms_of_timestamp("l_shipdate")
     forums = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("forum_id"))
     post = orders.join(forums, "o_orderkey", "left").select(
@@ -85,4 +98,4 @@ def load_mapped(spark: SparkSession, directory: str) -> Graph:
         "post_tag": post_tag, "study_at": years(3, "class_year"), "work_at": years(2, "work_from"),
         "comment_tag": spark.createDataFrame([], BASE["comment_tag"]), "forum_tag": spark.createDataFrame([], BASE["forum_tag"]),
     }
-    return Graph(spark, {name: _shaped(df, name) for name, df in tables.items()})
+    return Graph(spark, {name: _shaped(df, name) for name, df in tables.items()}, _held=[scratch])
