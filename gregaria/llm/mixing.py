@@ -4,9 +4,10 @@ Every document of a source should be used equally often, mostly a fractional
 number of times. Its whole part is taken as it is; the fractions are rounded in
 pairs: token mass moves at random from one document to the other, without a
 change to their sum or to either one's expectation, until one of the two is
-integral. Each task leaves at most one open document a source; these residuals
-are combined through a reduction tree, so the tokens drawn from a source differ
-from its target by less than one document.
+integral. Documents are dealt to leaves of a bounded number of documents, each of
+which leaves at most one open document a source; these residuals are combined
+through a reduction tree, so the tokens drawn from a source differ from its
+target by less than one document.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from gregaria.sources.scratch import Scratch
 from gregaria.sources.workers import on_workers
 
 FAN_IN = 32
+LEAF_DOCUMENTS = 10_000
 SURE = 1e-9
 MASK = (1 << 64) - 1
 
@@ -81,7 +83,7 @@ class Mix:
 _OUT = "doc_id bigint, source string, n_tokens bigint, base int, fraction double, node bigint"
 
 
-def _round(chosen: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
+def _round(chosen: DataFrame, scratch: Scratch, seed: int, n_leaves: int) -> DataFrame:
     """``chosen``: ``doc_id, source, n_tokens, base, fraction``; returns it with fractions 0 or 1."""
 
     def rows(part: pd.DataFrame, node: int) -> pd.DataFrame:
@@ -90,24 +92,26 @@ def _round(chosen: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
         return part.assign(fraction=part["doc_id"].map(found), node=node)[["doc_id", "source", "n_tokens", "base", "fraction", "node"]]
 
     def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left: dict[str, pd.DataFrame] = {}
+        left: dict[tuple[int, str], pd.DataFrame] = {}
         for frame in frames:
-            for source, part in frame.groupby("source", sort=True):
-                done = rows(pd.concat([left.pop(source), part]) if source in left else part, int(part["node"].iloc[0]))
+            for (node, source), part in frame.groupby(["node", "source"], sort=True):
+                done = rows(pd.concat([left.pop((node, source)), part]) if (node, source) in left else part, int(node))
                 is_open = ~done["fraction"].isin([0.0, 1.0])
                 if is_open.any():
-                    left[source] = done[is_open]
+                    left[node, source] = done[is_open]
                 yield done[~is_open]
         yield from left.values()
 
     def inner(frame: pd.DataFrame) -> pd.DataFrame:
         return rows(frame.sort_values("node", kind="stable"), int(frame["parent"].iloc[0]))
 
-    ordered = chosen.sortWithinPartitions("doc_id").withColumn("node", F.spark_partition_id().cast("bigint"))  # the same choice each time
+    # documents are dealt to leaves by their id, so the choice hangs on the data and the seed alone, not on how they lie in partitions
+    leaf = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(n_leaves))
+    ordered = chosen.withColumn("node", leaf).repartition("node").sortWithinPartitions("node", "source", "doc_id")
     level = scratch.write(on_workers(ordered).mapInPandas(leaves, _OUT), "leaves")
     is_open = (F.col("fraction") > 0) & (F.col("fraction") < 1)
     settled, residual = [level.where(~is_open)], level.where(is_open)
-    nodes = (level.agg(F.max("node")).first()[0] or 0) + 1
+    nodes = n_leaves
     depth = 0
     while nodes > 1:
         nodes = -(-nodes // FAN_IN)
@@ -145,13 +149,13 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
     )
     whole = documents.select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens")).where("source is not null and n_tokens > 0 and doc_id is not null")
     rows = whole.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("row")).select("doc_id", "row.*")
-    sizes = rows.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
-    sized = wanted.join(sizes, "source", "left").fillna(0, ["available_tokens"])
+    sizes = rows.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"), F.count(F.lit(1)).alias("available_documents"))
+    sized = scratch.write(wanted.join(sizes, "source", "left").fillna(0, ["available_tokens", "available_documents"]), "sized")
     reach = F.col("max_repeats") * F.col("available_tokens")
+    usable = sized.where("target_share > 0 and available_tokens > 0 and max_repeats > 0")
+    corpus, in_reach, n_documents = usable.agg(F.sum("available_tokens").cast("double"), F.min(reach / F.col("target_share")), F.sum("available_documents")).first()
     if total_tokens is None or total_tokens == "corpus":
-        usable = sized.where("target_share > 0 and available_tokens > 0 and max_repeats > 0")
-        measure = F.sum("available_tokens").cast("double") if total_tokens else F.min(reach / F.col("target_share"))
-        total_tokens = usable.agg(measure).first()[0] or 0.0
+        total_tokens = (corpus if total_tokens else in_reach) or 0.0
     goal = F.col("target_share") * F.lit(float(total_tokens))
     plan = scratch.write(
         sized.withColumn("wanted_tokens", goal)
@@ -163,10 +167,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
     chosen = rows.join(plan.select("source", "rate"), "source").select(
         "doc_id", "source", "n_tokens", base.alias("base"), F.greatest(F.col("rate") - base, F.lit(0.0)).alias("fraction")
     )
-    rounded = _round(chosen, scratch, seed)
+    rounded = _round(chosen, scratch, seed, max(1, -(-(n_documents or 0) // LEAF_DOCUMENTS)))
     uses = rounded.select("doc_id", "source", "n_tokens", (F.col("base") + F.col("fraction").cast("int")).cast("bigint").alias("uses")).where("uses > 0")
     drawn = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("chosen_tokens"), F.count(F.lit(1)).alias("n_documents"), F.sum("uses").alias("n_uses"))
-    shares = plan.drop("rate").join(drawn, "source", "left").fillna(0, ["chosen_tokens", "n_documents", "n_uses"])
+    shares = plan.drop("rate", "available_documents").join(drawn, "source", "left").fillna(0, ["chosen_tokens", "n_documents", "n_uses"])
     whole = shares.agg(F.sum("chosen_tokens").alias("mix_tokens")).withColumn("one", F.lit(1))
     shares = shares.withColumn("one", F.lit(1)).join(whole, "one").drop("one")
     return Mix(uses, shares.withColumn("actual_share", F.col("chosen_tokens") / F.nullif("mix_tokens", F.lit(0))).drop("mix_tokens"), scratch)

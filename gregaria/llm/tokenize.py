@@ -13,6 +13,7 @@ words, and recur, so each worker encodes a fragment once and looks it up later.
 from __future__ import annotations
 
 import base64
+import os
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from gregaria.sources.tables import spread
@@ -31,6 +33,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 MEMO_FRAGMENTS = 400_000
 MEMO_BYTES = 48
 BLOCK_BYTES = 1 << 20
+_SHIPPED: set[tuple[str, str]] = set()
 
 
 def certain_cuts(vocabulary: list[bytes]) -> np.ndarray:
@@ -89,15 +92,25 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One for each worker process."""
-    return Encoder(path)
+    """One for each worker process, from its host's file or, where there is none, the one shipped with the session."""
+    return Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+def _with_ranks(rows: DataFrame, path: str) -> DataFrame:
+    """``rows``, once the rank file of the driver's host is shipped to the workers of its session."""
+    context = rows.sparkSession.sparkContext
+    if (context.applicationId, path) not in _SHIPPED and os.path.exists(path):
+        context.addFile(path)
+        _SHIPPED.add((context.applicationId, path))
+    return on_workers(spread(rows))
 
 
 def encode_texts(rows: DataFrame, key: str, text: str = "text", path: str = BYTE_BPE) -> DataFrame:
     """``key, ids``: the token ids of ``text`` for every row, an empty list for empty and null texts.
 
     Each row is worked on where it lies; repeated and null keys are kept, other
-    columns are not read. ``path`` is the rank file, the same on all executors.
+    columns are not read. ``path`` is the rank file, on the hosts of the executors or on
+    the driver's, from which it is shipped.
     """
     kind = rows.schema[key].dataType.simpleString()
 
@@ -110,7 +123,7 @@ def encode_texts(rows: DataFrame, key: str, text: str = "text", path: str = BYTE
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))], names=[key, "ids"])
 
-    return on_workers(spread(rows.select(key, text))).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return _with_ranks(rows.select(key, text), path).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def count_tokens(rows: DataFrame, keep: list[str], text: str = "text", path: str = BYTE_BPE) -> DataFrame:
@@ -124,4 +137,4 @@ def count_tokens(rows: DataFrame, keep: list[str], text: str = "text", path: str
             counts = pa.array([len(encode(value.as_py())) for value in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), counts], names=[*keep, "n_tokens"])
 
-    return on_workers(spread(rows.select(*keep, text))).mapInArrow(run, f"{kinds}, n_tokens bigint")
+    return _with_ranks(rows.select(*keep, text), path).mapInArrow(run, f"{kinds}, n_tokens bigint")

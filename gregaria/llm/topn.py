@@ -1,14 +1,17 @@
 """Top N items within every group, by merging sorted runs with a loser tree.
 
 Rows are cut into bounded runs, each sorted by group and score, and stored by
-bucket of the group. A bucket's runs are merged with a loser tree; when a group
-has given N items, every run seeks to its next group. A run itself keeps no
-more than the first N items of a group, since only those can come out, so a
-group with millions of items adds N rows a run to the shuffle and to one task.
+bucket of the group. A bucket's runs are merged with a loser tree, ``FAN_IN`` of a
+level into one of the next; when a group has given N items, every run seeks to
+its next group. A run itself keeps no more than the first N items of a group,
+since only those can come out, so a group with millions of items adds N rows a
+run to the shuffle and to one task. The number of buckets follows the number of
+rows, so that of many groups each bucket holds a bounded share.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +22,7 @@ from gregaria.sources.workers import on_workers
 
 RUN_ROWS = 1 << 19
 FAN_IN = 64
+BUCKET_ROWS = 1 << 18
 
 Run = tuple[np.ndarray, np.ndarray, np.ndarray]  # groups, inverted scores, inverted ties: all ascending
 
@@ -38,16 +42,23 @@ def sorted_run(group: np.ndarray, score: np.ndarray, tie: np.ndarray, n: int) ->
 
 
 class LoserTree:
-    """The smallest head of several sorted lists, with a list's next head found in log(k) comparisons."""
+    """The smallest head of several sorted runs, with a run's next head found in log(k) comparisons.
 
-    def __init__(self, lists: list[list[tuple]]):
-        self.lists, self.at, self.k = lists, [0] * len(lists), len(lists)
-        self.heads: list[tuple | None] = [x[0] if x else None for x in lists]
+    Runs are tuples of equally long columns; only heads become Python values.
+    """
+
+    def __init__(self, runs: list[tuple]):
+        self.runs, self.at, self.k = runs, [0] * len(runs), len(runs)
+        self.heads: list[tuple | None] = [self._head(i) for i in range(self.k)]
         self.losers = [-1] * self.k
         for i in range(self.k):
             self._play(i)
         self.winner = self.losers[0] if self.k else -1
 
+    def _head(self, i: int) -> tuple | None:
+        at, run = self.at[i], self.runs[i]
+        return tuple([column[at] for column in run]) if at < len(run[0]) else None
+
     def _before(self, a: int, b: int) -> bool:
         x, y = self.heads[a], self.heads[b]
         return x is not None and (y is None or x < y)
@@ -65,11 +76,10 @@ class LoserTree:
         losers[0] = i
 
     def advance(self, to: int) -> None:
-        """The winner's list goes on at ``to``."""
+        """The winner's run goes on at ``to``."""
         i = self.winner
         self.at[i] = to
-        own = self.lists[i]
-        self.heads[i] = own[to] if to < len(own) else None
+        self.heads[i] = self._head(i)
         self._play(i)
         self.winner = self.losers[0]
 
@@ -78,13 +88,12 @@ def merge_runs(runs: list[Run], n: int) -> Run:
     """One run from many: the first ``n`` distinct items of each group."""
     if len(runs) == 1:
         return runs[0]
-    lists = [list(zip(*(column.tolist() for column in run))) for run in runs]
     ends = []  # of each item, where its run's next group starts
     for groups, _, _ in runs:
         starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True]) if len(groups) else np.array([0])
-        ends.append(np.repeat(starts[1:], np.diff(starts)).tolist())
-    tree = LoserTree(lists)
-    out: list[tuple] = []
+        ends.append(memoryview(np.repeat(starts[1:], np.diff(starts))))
+    tree = LoserTree([tuple(memoryview(np.ascontiguousarray(column)) for column in run) for run in runs])
+    out = tuple(array("q") for _ in range(3))
     group, given, last = None, 0, None
     while (head := tree.heads[tree.winner]) is not None:
         at = tree.at[tree.winner]
@@ -94,11 +103,42 @@ def merge_runs(runs: list[Run], n: int) -> Run:
             tree.advance(ends[tree.winner][at])
             continue
         if head != last:
-            out.append(head)
+            for column, value in zip(out, head):
+                column.append(value)
             given += 1
             last = head
         tree.advance(at + 1)
-    return tuple(np.array(column, np.int64) for column in zip(*out)) if out else runs[0]
+    return tuple(np.frombuffer(column, np.int64) if column else np.empty(0, np.int64) for column in out)
+
+
+class Merge:
+    """Runs of one bucket, merged as they come: ``FAN_IN`` of a level make one of the next, so a row is written once a level."""
+
+    def __init__(self, n: int, fan_in: int = FAN_IN):
+        self.n, self.fan_in, self.written = n, fan_in, 0
+        self.levels: list[list[Run]] = []
+
+    def add(self, run: Run, level: int = 0) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) == self.fan_in:
+            self.add(self._merged(self.levels[level]), level + 1)
+            self.levels[level] = []
+
+    def _merged(self, runs: list[Run]) -> Run:
+        if len(runs) == 1:
+            return runs[0]
+        run = merge_runs(runs, self.n)
+        self.written += len(run[0])
+        return run
+
+    def result(self) -> Run:
+        rest: list[Run] = []
+        for level in self.levels:
+            rest = [self._merged(rest + level)] if rest or level else []
+        self.levels = []
+        return rest[0]
 
 
 def _bucket(group: np.ndarray, buckets: int) -> np.ndarray:
@@ -113,8 +153,8 @@ def top_n(rows: DataFrame, group: str, score: str, tie: str, n: int, run_rows: i
     rows with a null in any of them are left out. Rows equal in all three count
     once. Groups with fewer items give fewer rows, an empty table none.
     """
-    buckets = buckets or 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = rows.select(group, score, tie).where(f"`{group}` is not null and `{score}` is not null and `{tie}` is not null")
+    buckets = buckets or max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), whole.count() // BUCKET_ROWS)
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Run] = []
@@ -139,23 +179,21 @@ def top_n(rows: DataFrame, group: str, score: str, tie: str, n: int, run_rows: i
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def ranked(runs: list[Run]) -> pa.RecordBatch:
-            groups, _, ties = merge_runs(runs, n)
+        def ranked(merge: Merge) -> pa.RecordBatch:
+            groups, _, ties = merge.result()
             at = np.arange(len(groups))
             first = np.r_[True, groups[1:] != groups[:-1]]
             rank = at - np.maximum.accumulate(np.where(first, at, 0)) + 1
             return pa.RecordBatch.from_arrays([pa.array(groups), pa.array(rank), pa.array(~ties)], names=[group, "rank_no", tie])
 
-        current, runs = None, []
+        current, runs = None, None
         for batch in batches:
             for bucket, *parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if bucket != current and runs:
-                    yield ranked(runs)
-                    runs = []
-                current = bucket
-                runs.append(tuple(np.frombuffer(p, np.int64) for p in parts))
-                if len(runs) == FAN_IN:
-                    runs = [merge_runs(runs, n)]
+                if bucket != current:
+                    if runs:
+                        yield ranked(runs)
+                    current, runs = bucket, Merge(n)
+                runs.add(tuple(np.frombuffer(p, np.int64) for p in parts))
         if runs:
             yield ranked(runs)
 

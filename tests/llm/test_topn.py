@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from gregaria.llm.topn import LoserTree, merge_runs, sorted_run, top_n
+from gregaria.llm.topn import LoserTree, Merge, merge_runs, sorted_run, top_n
 
 
 def brute(rows, n):
@@ -43,7 +43,7 @@ def test_times_and_empty(spark):
 def test_loser_tree_merges(k):
     r = random.Random(k)
     lists = [sorted((r.randrange(50), i) for _ in range(r.randrange(30))) for i in range(k)]
-    tree, out = LoserTree(lists), []
+    tree, out = LoserTree([tuple(zip(*one)) or ((), ()) for one in lists]), []
     while (head := tree.heads[tree.winner]) is not None:
         out.append(head)
         tree.advance(tree.at[tree.winner] + 1)
@@ -56,3 +56,27 @@ def test_merged_runs_keep_n_of_each_group():
     merged = merge_runs([sorted_run(*c, 4) for c in columns], 4)
     whole = sorted_run(*(np.concatenate([c[i] for c in columns]) for i in range(3)), 4)
     assert all((a == b).all() for a, b in zip(merged, whole))
+
+
+def test_a_row_is_written_once_a_level():
+    """4,096 runs of a million groups: two levels of 64, and no more."""
+    r = np.random.default_rng(4)
+    merge, rows, groups = Merge(5), 0, set()
+    for _ in range(4096):
+        run = sorted_run(r.integers(0, 1_000_000, 64), r.integers(0, 9, 64), r.integers(0, 10**9, 64), 5)
+        rows += len(run[0])
+        groups |= set(run[0].tolist())
+        merge.add(run)
+    assert set(merge.result()[0].tolist()) == groups
+    assert merge.written <= 2 * rows + len(groups)
+
+
+@pytest.mark.parametrize("fan_in", [2, 3, 64])
+def test_levels_as_one_merge(fan_in):
+    r = np.random.default_rng(8)
+    columns = [(r.integers(0, 40, 90), r.integers(0, 5, 90), r.integers(0, 90, 90)) for _ in range(37)]
+    merge = Merge(3, fan_in)
+    for c in columns:
+        merge.add(sorted_run(*c, 3))
+    whole = sorted_run(*(np.concatenate([c[i] for c in columns]) for i in range(3)), 3)
+    assert all((a == b).all() for a, b in zip(merge.result(), whole))
