@@ -129,6 +129,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return resolved_trees(spark, sf).select(F.col("tree").alias("tree_name"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").cast("bigint").alias("depth"))
 
 
+def p5_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``p5_found``, with the rounds of the contraction distributed down to the last thousand links."""
+    return resolved_trees(spark, sf, core_rows=1000).select(F.col("tree").alias("tree_name"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").cast("bigint").alias("depth"))
+
+
 def p5_paths(spark: SparkSession, sf: str) -> DataFrame:
     """The path from the root of every node of ``p5_found``, ids joined by slashes; null on and below circles."""
     return resolved_trees(spark, sf, with_path=True).select(
@@ -143,4 +148,4 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_keys, p2_named, p4_found, p5_found, p5_paths, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_keys, p2_named, p4_found, p5_found, p5_rounds, p5_paths, p5_descendants)}

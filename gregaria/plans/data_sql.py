@@ -96,3 +96,4 @@ SQL = {
         SELECT tree AS tree_name, split_part(path, '/', i::INT)::BIGINT AS node_id, node AS descendant_id, (depth + 1 - i)::BIGINT AS distance
         FROM (SELECT tree, node, depth, path, unnest(range(1, depth + 1)) AS i FROM walk)""",
 }
+SQL["p5_rounds"] = SQL["p5_found"]
