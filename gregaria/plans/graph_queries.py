@@ -14,13 +14,17 @@ from gregaria.plans import batch_reads as b
 from gregaria.plans import complex_reads as c
 from gregaria.plans import short_reads as s
 from gregaria.plans.updates import REQUESTS, apply_updates
+from gregaria.schema import BASE
 from gregaria.sources import snapshot
+from gregaria.sources.csv_graph import load_csv, write_csv
 from gregaria.sources.mapped import load_mapped
 from gregaria.sources.scratch import Scratch
 
 PERSON = 1
 FAR_PERSON = 73
 _MAPPED: dict[tuple[str, str], tuple[Graph, Scratch]] = {}
+_DELIMITED: dict[tuple[str, str], tuple[Graph, Scratch]] = {}
+_UPDATED: dict[tuple[str, str], tuple[Graph, Scratch]] = {}
 
 
 def mapped(spark: SparkSession, directory: str) -> Graph:
@@ -32,6 +36,16 @@ def mapped(spark: SparkSession, directory: str) -> Graph:
     return _MAPPED[key][0]
 
 
+def delimited(spark: SparkSession, directory: str) -> Graph:
+    """The mapped graph, written as delimited files once a session and loaded from them."""
+    key = (spark.sparkContext.applicationId, directory)
+    if key not in _DELIMITED:
+        scratch = Scratch(spark, "delimited")
+        write_csv(mapped(spark, directory), scratch.root)
+        _DELIMITED[key] = load_csv(spark, scratch.root), scratch
+    return _DELIMITED[key][0]
+
+
 def _ms(day: str) -> int:
     import datetime
 
@@ -43,8 +57,6 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*(F.array_join(F.col(f.name).cast("array<string>"), "|").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in df.schema))
 
 
-
-
 def _requests(spark: SparkSession, rows: DataFrame, kind: str) -> DataFrame:
     """``rows`` in the columns of a request; lacking ones are null."""
     empty = spark.createDataFrame([], REQUESTS[kind])
@@ -102,6 +114,37 @@ def _iu8(spark: SparkSession, g: Graph) -> DataFrame:
     return apply_updates(g, {"iu8": _requests(spark, rows, "iu8")}).friends
 
 
+def _full_batch(spark: SparkSession, g: Graph) -> Graph:
+    """One batch of all kinds with tags, schools and firms: for each person, forum, post and comment a further one that refers to the others.
+
+    A further comment answers what its pattern answers, or the further one of it.
+    """
+    tags = lambda key: f"array({key} % 64, {key} * 5 % 64, 999999) as tag_ids"
+    jobs = lambda n, year: f"array(named_struct('org_id', id % {n}, 'year', cast({year} + id % 5 as int)), named_struct('org_id', 99999999, 'year', 1))"
+    rows = {
+        "iu1": g.person.selectExpr(f"id + {NEW} as person_id", "first_name", "last_name", "gender", "birthday", "creation_ms", "location_ip", "browser_used", "city_id", "languages", "emails", tags("id"), f"{jobs(7, 2000)} as study_at", f"{jobs(11, 1990)} as work_at"),
+        "iu2": g.post.selectExpr(f"creator_id + {NEW} as person_id", f"id + {20 * NEW} as post_id", "creation_ms"),
+        "iu3": g.comment.selectExpr(f"creator_id + {NEW} as person_id", "id as comment_id", "creation_ms"),
+        "iu4": g.forum.selectExpr(f"id + {NEW} as forum_id", "title", "creation_ms", f"moderator_id + {NEW} as person_id", tags("id")),
+        "iu5": g.forum_member.selectExpr(f"person_id + {NEW} as person_id", f"forum_id + {NEW} as forum_id", "join_ms as creation_ms"),
+        "iu6": g.post.selectExpr(f"id + {20 * NEW} as post_id", "image_file", "creation_ms", "content", f"creator_id + {NEW} as person_id", f"forum_id + {NEW} as forum_id", "country_id", tags("id")),
+        "iu7": g.comment.selectExpr(f"id + {20 * NEW} as comment_id", "creation_ms", "content", f"creator_id + {NEW} as person_id", "country_id", f"reply_of_post + {20 * NEW} as post_id", f"reply_of_comment + {20 * NEW} as reply_comment_id", tags("id")),
+        "iu8": g.knows.where("p1 < p2").selectExpr(f"p1 + {NEW} as person_id", f"p2 + {NEW} as person2_id", "creation_ms"),
+    }
+    return apply_updates(g, {kind: _requests(spark, requests, kind) for kind, requests in rows.items()})
+
+
+def updated(spark: SparkSession, directory: str) -> Graph:
+    """The mapped graph after ``_full_batch``, stored as a further version of its own once a session."""
+    key = (spark.sparkContext.applicationId, directory)
+    if key not in _UPDATED:
+        scratch = Scratch(spark, "updated")
+        batch = _full_batch(spark, snapshot.open_or_build(spark, scratch.root, lambda: mapped(spark, directory)))
+        _UPDATED[key] = snapshot.append(batch, scratch.root), scratch
+        batch.release()
+    return _UPDATED[key][0]
+
+
 def _closure(spark: SparkSession, g: Graph) -> DataFrame:
     return c.tags_below(g, "Len4").join(g.tag.select(F.col("id").alias("tag_id"), "name"), "tag_id")
 
@@ -147,6 +190,7 @@ PLANS: dict[str, Callable[[SparkSession, Graph], DataFrame]] = {
     "semi_join": lambda x, g: relational.semi(g.post.select("id", F.col("creator_id").alias("person_id")), g.person_interest.where("tag_id = 10"), "person_id"),
     "semi_join_whole": lambda x, g: relational.semi(g.post.select("id", F.col("creator_id").alias("person_id")), g.person_interest, "person_id"),
     "anti_join": lambda x, g: relational.anti(g.person.select("id"), g.post.select(F.col("creator_id").alias("id")), "id"),
+    "anti_join_untagged": lambda x, g: relational.anti(g.post.select("id"), g.post_tag.select(F.col("post_id").alias("id")), "id"),
     "mark_join": lambda x, g: relational.mark(g.person.select("id"), g.work_at.select(F.col("person_id").alias("id")), "id", "works"),
     "argmax_per_group": lambda x, g: relational.arg_max(g.likes.select("person_id", "message_id", "creation_ms"), ["person_id"], [F.col("creation_ms").desc(), F.col("message_id").asc()]),
     "union_message": lambda x, g: g.message.select("id", "is_post", "creator_id", "creation_ms"),
@@ -160,6 +204,7 @@ PLANS: dict[str, Callable[[SparkSession, Graph], DataFrame]] = {
     "person_table": lambda x, g: flat(g.person), "place_table": lambda x, g: g.place, "org_table": lambda x, g: g.org, "tag_table": lambda x, g: g.tag,
     "tagclass_table": lambda x, g: g.tagclass, "forum_table": lambda x, g: g.forum, "post_table": lambda x, g: g.post, "comment_table": lambda x, g: g.comment,
     "knows_table": lambda x, g: g.knows, "likes_table": lambda x, g: g.likes, "forum_member_table": lambda x, g: g.forum_member, "post_tag_table": lambda x, g: g.post_tag,
+    "comment_tag_table": lambda x, g: g.comment_tag, "forum_tag_table": lambda x, g: g.forum_tag,
     "person_interest_table": lambda x, g: g.person_interest, "study_at_table": lambda x, g: g.study_at, "work_at_table": lambda x, g: g.work_at,
 }
 
@@ -168,4 +213,20 @@ def _query(plan: Callable[[SparkSession, Graph], DataFrame]) -> Callable[[SparkS
     return lambda spark, directory: plan(spark, mapped(spark, directory))
 
 
-QUERIES = {name: _query(plan) for name, plan in PLANS.items()}
+def _loaded(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, directory: flat(delimited(spark, directory).tables[name])
+
+
+def _after(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, directory: flat(updated(spark, directory).tables[name])
+
+
+#: Tables after an update of each kind, by the kinds that change them.
+AFTER = {
+    "iu1_person": "person", "iu1_interest": "person_interest", "iu1_study": "study_at", "iu1_work": "work_at", "iu2_iu3_likes": "likes", "iu4_forum": "forum", "iu4_tags": "forum_tag",
+    "iu5_members": "forum_member", "iu6_posts": "post", "iu6_tags": "post_tag", "iu5_iu6_member_posts": "member_posts", "iu7_comments": "comment", "iu7_tags": "comment_tag",
+    "iu6_iu7_roots": "message_root", "iu6_iu7_homes": "message_home", "iu7_replies": "replies", "iu8_knows": "knows", "iu7_iu8_friends": "friends",
+}
+QUERIES = (
+    {name: _query(plan) for name, plan in PLANS.items()} | {f"csv_{name}": _loaded(name) for name in BASE} | {name: _after(table) for name, table in AFTER.items()}
+)

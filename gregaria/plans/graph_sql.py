@@ -1,5 +1,7 @@
 """The queries of ``graph_queries`` in SQL over the same relational tables, for comparison."""
 
+from gregaria.schema import BASE
+
 GRAPH = """
 WITH RECURSIVE
 g_person AS (SELECT c_custkey AS id, c_mktsegment AS first_name, c_name AS last_name, CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
@@ -38,6 +40,8 @@ g_work AS (SELECT l_partkey AS person_id, l_suppkey AS org_id, min(year(l_shipda
 g_study AS (SELECT l_partkey AS person_id, l_suppkey AS org_id, min(year(l_shipdate))::INTEGER AS class_year FROM own WHERE l_linenumber = 3 GROUP BY 1, 2),
 g_interest AS (SELECT DISTINCT person_id, tag_id FROM (SELECT c_custkey AS person_id, unnest([c_custkey % 64, (c_custkey * 7 + 3) % 64, (c_custkey * 13 + 5) % 64]) AS tag_id FROM customer)
   WHERE tag_id IN (SELECT id FROM g_tag)),
+g_comment_tag AS (SELECT 10000000 + event_id AS comment_id, event_id * 7 % 64 AS tag_id FROM events WHERE event_id * 7 % 64 IN (SELECT id FROM g_tag)),
+g_forum_tag AS (SELECT s_suppkey AS forum_id, s_suppkey * 3 % 64 AS tag_id FROM supplier WHERE s_suppkey * 3 % 64 IN (SELECT id FROM g_tag)),
 """
 # posts, comments, friendships and memberships by name, so that the same text serves before and after an update
 POSTS = "SELECT forum_id, creator_id AS person_id, count(*) AS posts FROM {post} GROUP BY 1, 2"
@@ -252,10 +256,67 @@ SQL = {
     "union_message": _q("SELECT id, is_post, creator_id, creation_ms FROM g_message"),
     "cond_count": _q("SELECT * FROM (SELECT creator_id, count(*) FILTER (country_id = 1000) AS x_count, count(*) FILTER (country_id = 1001) AS y_count FROM g_message GROUP BY 1) WHERE x_count > 0 AND y_count > 0"),
     "collect_sorted": _q("SELECT person_id, string_agg(org_id::VARCHAR, '|' ORDER BY org_id, work_from) AS orgs, string_agg(work_from::VARCHAR, '|' ORDER BY org_id, work_from) AS years FROM g_work GROUP BY 1"),
-} | {
-    f"{name}_table": _q(f"SELECT * FROM {cte}", with_hops=False)
-    for name, cte in {
-        "person": "g_person", "place": "g_place", "org": "g_org", "tag": "g_tag", "tagclass": "g_tagclass", "forum": "g_forum", "post": "g_post", "comment": "g_comment",
-        "knows": "g_knows", "likes": "g_likes", "forum_member": "g_member", "post_tag": "g_post_tag", "person_interest": "g_interest", "study_at": "g_study", "work_at": "g_work",
-    }.items()
+    "anti_join_untagged": _q("SELECT id FROM g_post WHERE id NOT IN (SELECT post_id FROM g_post_tag)"),
+}
+
+TABLES = {
+    "person": "g_person", "place": "g_place", "org": "g_org", "tag": "g_tag", "tagclass": "g_tagclass", "forum": "g_forum", "post": "g_post", "comment": "g_comment",
+    "knows": "g_knows", "likes": "g_likes", "forum_member": "g_member", "post_tag": "g_post_tag", "comment_tag": "g_comment_tag", "forum_tag": "g_forum_tag",
+    "person_interest": "g_interest", "study_at": "g_study", "work_at": "g_work",
+}
+SQL |= {f"{name}_table": _q(f"SELECT * FROM {cte}", with_hops=False) for name, cte in TABLES.items()}
+
+# Delimited files know no null text: what is null in a table comes back empty.
+TEXTS = {
+    name: [part.split(" ")[0] for part in spec.split(", ") if part.endswith(" string")] for name, spec in BASE.items()
 }
+SQL |= {
+    f"csv_{name}": _q("SELECT * " + (f"REPLACE ({', '.join(f'coalesce({c}, {chr(39) * 2}) AS {c}' for c in TEXTS[name])}) " if TEXTS[name] else "") + f"FROM {cte}", with_hops=False)
+    for name, cte in TABLES.items()
+}
+
+# The graph after one batch that adds to every person, forum, post and comment a further one, with ids moved by NEW or 20 * NEW.
+MORE = 20 * NEW
+FURTHER = f"""
+f_tags AS (SELECT id AS tag_id FROM g_tag),
+accepted AS (SELECT DISTINCT w.message_id AS id FROM walk AS w WHERE parent < 0 AND -1 - parent IN (SELECT id FROM g_post WHERE forum_id IN (SELECT id FROM g_forum))),
+u_post AS (SELECT * FROM g_post UNION ALL SELECT id + {MORE}, image_file, creation_ms, NULL, NULL, NULL, content, creator_id + {NEW}, forum_id + {NEW}, country_id FROM g_post WHERE forum_id IN (SELECT id FROM g_forum)),
+u_comment AS (SELECT * FROM g_comment UNION ALL SELECT id + {MORE}, creation_ms, NULL, NULL, content, creator_id + {NEW}, country_id, reply_of_post + {MORE}, reply_of_comment + {MORE}
+  FROM g_comment WHERE id IN (SELECT id FROM accepted)),
+u_knows AS (SELECT * FROM g_knows UNION ALL SELECT p1 + {NEW}, p2 + {NEW}, creation_ms FROM g_knows),
+u_member AS (SELECT * FROM g_member UNION ALL SELECT forum_id + {NEW}, person_id + {NEW}, join_ms FROM g_member WHERE forum_id IN (SELECT id FROM g_forum)),
+u_reply AS (SELECT coalesce(reply_of_post, reply_of_comment) AS parent_id, reply_of_post IS NOT NULL AS parent_is_post, id, creator_id, creation_ms FROM u_comment WHERE coalesce(reply_of_post, reply_of_comment) IS NOT NULL),
+u_home AS (SELECT id, TRUE AS is_post, creator_id FROM u_post UNION ALL SELECT id, FALSE, creator_id FROM u_comment),
+u_weight AS (SELECT least(r.creator_id, h.creator_id) AS a, greatest(r.creator_id, h.creator_id) AS b, sum(CASE WHEN parent_is_post THEN 1.0 ELSE 0.5 END)::DOUBLE AS weight
+  FROM u_reply AS r JOIN u_home AS h ON h.id = r.parent_id AND h.is_post = r.parent_is_post GROUP BY 1, 2),
+"""
+TAGS_OF = "SELECT DISTINCT {owner} AS {name}, tag_id FROM (SELECT id, unnest([id % 64, id * 5 % 64]) AS tag_id FROM {table}) WHERE tag_id IN (SELECT tag_id FROM f_tags){only}"
+
+
+def _u(body: str) -> str:
+    return _q(body, FURTHER)
+
+
+SQL |= {
+    "iu1_person": _u(f"SELECT * FROM g_person UNION ALL SELECT * REPLACE (id + {NEW} AS id) FROM g_person"),
+    "iu1_interest": _u("SELECT * FROM g_interest UNION ALL " + TAGS_OF.format(owner=f"id + {NEW}", name="person_id", table="g_person", only="")),
+    "iu1_study": _u(f"SELECT * FROM g_study UNION ALL SELECT id + {NEW}, id % 7, (2000 + id % 5)::INTEGER FROM g_person WHERE id % 7 IN (SELECT id FROM g_org)"),
+    "iu1_work": _u(f"SELECT * FROM g_work UNION ALL SELECT id + {NEW}, id % 11, (1990 + id % 5)::INTEGER FROM g_person WHERE id % 11 IN (SELECT id FROM g_org)"),
+    "iu2_iu3_likes": _u(
+        f"""SELECT * FROM g_likes UNION ALL SELECT creator_id + {NEW}, id + {MORE}, TRUE, creation_ms FROM g_post WHERE forum_id IN (SELECT id FROM g_forum)
+        UNION ALL SELECT creator_id + {NEW}, id, FALSE, creation_ms FROM g_comment"""
+    ),
+    "iu4_forum": _u(f"SELECT * FROM g_forum UNION ALL SELECT id + {NEW}, title, creation_ms, moderator_id + {NEW} FROM g_forum WHERE moderator_id IN (SELECT id FROM g_person)"),
+    "iu4_tags": _u("SELECT * FROM g_forum_tag UNION ALL " + TAGS_OF.format(owner=f"id + {NEW}", name="forum_id", table="g_forum", only="")),
+    "iu5_members": _u("SELECT * FROM u_member"),
+    "iu6_posts": _u("SELECT * FROM u_post"),
+    "iu6_tags": _u("SELECT * FROM g_post_tag UNION ALL " + TAGS_OF.format(owner=f"id + {MORE}", name="post_id", table="g_post", only=" AND id IN (SELECT id FROM g_post WHERE forum_id IN (SELECT id FROM g_forum))")),
+    "iu5_iu6_member_posts": _u(_members("u_member", "u_post")),
+    "iu7_comments": _u("SELECT * FROM u_comment"),
+    "iu7_tags": _u("SELECT * FROM g_comment_tag UNION ALL " + TAGS_OF.format(owner=f"id + {MORE}", name="comment_id", table="g_comment", only=" AND id IN (SELECT id FROM accepted)")),
+    "iu6_iu7_roots": _u(f"SELECT * FROM root UNION ALL SELECT message_id + {MORE}, is_post, post_id + {MORE} FROM root WHERE post_id IN (SELECT id FROM g_post WHERE forum_id IN (SELECT id FROM g_forum))"),
+    "iu6_iu7_homes": _u("SELECT * FROM u_home"),
+    "iu7_replies": _u("SELECT * FROM u_reply"),
+    "iu8_knows": _u("SELECT * FROM u_knows"),
+    "iu7_iu8_friends": _u("SELECT p1, p2, creation_ms, coalesce(weight, 0) AS weight FROM u_knows LEFT JOIN u_weight ON a = least(p1, p2) AND b = greatest(p1, p2)"),
+}

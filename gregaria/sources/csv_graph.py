@@ -1,4 +1,4 @@
-"""Graphs from delimited files: ``|`` between fields, ``;`` inside lists, one header line, no quoting."""
+"""Graphs from and to delimited files: ``|`` between fields, ``;`` inside lists, one header line, no quoting."""
 
 from __future__ import annotations
 
@@ -119,3 +119,29 @@ def load_csv(spark: SparkSession, directory: str) -> Graph:
     """The graph of all files below ``directory``; a missing file or a wrong header is an error."""
     tables = {name: read_vertices(spark, directory, name) for name in LAYOUTS}
     return Graph(spark, tables | {name: read_relation(spark, directory, name) for name in RELATIONS})
+
+
+def _as_text(value: F.Column, kind: str, column: str) -> F.Column:
+    if column.endswith("_ms"):
+        return F.date_format(F.timestamp_millis(value), "yyyy-MM-dd'T'HH:mm:ss.SSSxx")
+    return F.array_join(value, ";") if kind == "array<string>" else value.cast("string")
+
+
+def write_csv(graph: Graph, directory: str) -> None:
+    """The files that ``load_csv`` reads, each as a folder of parts; times to the millisecond, friendships once a pair, columns that no table holds empty.
+
+    Values must hold neither the separators nor line ends, as the format has no quoting.
+    """
+
+    def write(rows: DataFrame, path: str) -> None:
+        rows = rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns))
+        rows.write.csv(f"{directory}/{path}", sep="|", header=True, quote="", escape="", emptyValue="", mode="overwrite")
+
+    for name, layout in LAYOUTS.items():
+        texts = {layout.columns[c]: _as_text(F.col(c), kind, c) for c, kind in _kinds(name)}
+        write(graph.tables[name].select(*(texts.get(c, F.lit(None).cast("string")).alias(c) for c in layout.header)), layout.path)
+    for name, files in RELATIONS.items():
+        for file, is_post in files:
+            rows = graph.tables[name]
+            rows = rows.where("p1 < p2") if name == "knows" else rows if is_post is None else rows.where(F.col("is_post") == is_post)
+            write(rows.select(*(_as_text(F.col(c), kind, c).alias(c) for c, kind in _kinds(name) if c != "is_post")), file)

@@ -96,6 +96,7 @@ def load_mapped(spark: SparkSession, directory: str) -> Graph:
         "person": person, "place": place, "org": org, "tag": tag, "tagclass": tagclass, "forum": forum, "post": post, "comment": comment, "knows": knows,
         "likes": likes, "forum_member": member, "person_interest": interest.join(tag.select(F.col("id").alias("tag_id")), "tag_id", "left_semi"),
         "post_tag": post_tag, "study_at": years(3, "class_year"), "work_at": years(2, "work_from"),
-        "comment_tag": spark.createDataFrame([], BASE["comment_tag"]), "forum_tag": spark.createDataFrame([], BASE["forum_tag"]),
+        "comment_tag": events.selectExpr(f"{COMMENT_BASE} + event_id as comment_id", "event_id * 7 % 64 as tag_id").join(tag.select(F.col("id").alias("tag_id")), "tag_id", "left_semi"),
+        "forum_tag": supplier.selectExpr("s_suppkey as forum_id", "s_suppkey * 3 % 64 as tag_id").join(tag.select(F.col("id").alias("tag_id")), "tag_id", "left_semi"),
     }
     return Graph(spark, {name: _shaped(df, name) for name, df in tables.items()}, _held=[scratch])
