@@ -4,7 +4,10 @@ The reads of ``complex_reads`` serve one person each. Where the answer is
 wanted for everybody these compute it in one plan: the person is a column that
 is carried along, and the limit holds within each person. Rows that can't be
 among anybody's first are cut before the wide join: of every author only the
-latest ``limit`` messages can be among a reader's latest ``limit``.
+latest ``limit`` messages can be among a reader's latest ``limit``, and lists go
+from hop to hop, so their number follows the friendships, not the pairs of
+friends of friends. Persons with a large share of the friendships, and messages
+with one of the likes or replies, meet their rows by broadcast or over salts.
 """
 
 from __future__ import annotations
@@ -15,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gregaria.graph import Graph
+from gregaria.graph import HOT_SHARE, Graph
 from gregaria.operators.relational import arg_max
+from gregaria.operators.skew import copied_to_salts, heavy_candidates, salted, skew_join
 
+SALTS = 32
 asc, desc = (lambda c: F.col(c).asc()), (lambda c: F.col(c).desc())
 
 
@@ -26,21 +31,55 @@ def first_of_each(rows: DataFrame, key: str, order: Sequence[Column], limit: int
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("bigint")).where(F.col("rank") <= limit)
 
 
+def near(g: Graph) -> DataFrame:
+    """``reader, id``: everyone with the persons one step away, but themselves."""
+    return g.knows.where("p1 <> p2").select(F.col("p1").alias("reader"), F.col("p2").alias("id")).distinct()
+
+
 def circles(g: Graph, hops: int) -> DataFrame:
-    """``reader, id``: everyone with the persons within one or two steps, without themselves."""
-    near = g.knows.where("p1 <> p2").select(F.col("p1").alias("reader"), F.col("p2").alias("id")).distinct()
+    """``reader, id``: everyone with the persons within one or two steps, without themselves.
+
+    Pairs by way of somebody with a large share of the friendships are made over
+    salts: the readers are dealt out to them, the friends copied to each.
+    """
+    one = near(g)
     if hops == 1:
-        return near
-    far = near.select("reader", F.col("id").alias("p1")).join(near.select(F.col("reader").alias("p1"), "id"), "p1").where("reader <> id").select("reader", "id")
-    return near.unionByName(far).distinct()
+        return one
+    to, onward = one.select("reader", F.col("id").alias("p1")), one.select(F.col("reader").alias("p1"), "id")
+    hubs = heavy_candidates(to, "p1", HOT_SHARE).select("p1")
+    far = salted(to, hubs, "p1", F.col("reader"), SALTS).join(copied_to_salts(onward, hubs, "p1", SALTS), ["p1", "salt"]).where("reader <> id").select("reader", "id")
+    return one.unionByName(far).distinct()
+
+
+def _latest() -> list[Column]:
+    return [desc("creation_ms"), asc("message_id")]
+
+
+def _listed(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """``key`` and its first ``limit`` messages as one list."""
+    first = first_of_each(rows, key, _latest(), limit)
+    return first.groupBy(key).agg(F.collect_list(F.struct("person_id", "message_id", "is_post", "creation_ms")).alias("messages"))
+
+
+def _passed_on(friends: DataFrame, lists: DataFrame) -> DataFrame:
+    """The messages listed under each friend, a row each, for the reader; one's own are left out."""
+    rows = skew_join(friends, lists, "id", HOT_SHARE).where("messages is not null")
+    return rows.select("reader", F.inline("messages")).where("reader <> person_id")
 
 
 def latest_messages(g: Graph, hops: int, before_ms: int, limit: int) -> DataFrame:
-    """Everyone's latest messages by others within ``hops`` steps, before a time (``ic2`` and ``ic9`` for all)."""
-    order = [desc("creation_ms"), asc("message_id")]
-    messages = g.message.where(F.col("creation_ms") < before_ms).select(F.col("creator_id").alias("id"), F.col("id").alias("message_id"), "creation_ms")
-    latest = first_of_each(messages, "id", order, limit).drop("rank")
-    return first_of_each(circles(g, hops).join(latest, "id"), "reader", order, limit).withColumnRenamed("id", "person_id")
+    """Everyone's latest messages by others within ``hops`` steps, before a time (``ic2`` and ``ic9`` for all).
+
+    A friend passes on twice the limit, of each author no more than the limit:
+    if those of the reader are left out, enough are left.
+    """
+    messages = g.message.where(F.col("creation_ms") < before_ms).select(F.col("creator_id").alias("id"), F.col("creator_id").alias("person_id"), F.col("id").alias("message_id"), "is_post", "creation_ms")
+    own, friends = _listed(messages.where("id is not null"), "id", limit), near(g)
+    found = _passed_on(friends, own)
+    if hops > 1:
+        handed = _listed(found.withColumnRenamed("reader", "id"), "id", 2 * limit)
+        found = found.unionByName(_passed_on(friends, handed)).distinct()
+    return first_of_each(found.drop("is_post"), "reader", _latest(), limit)
 
 
 def new_forums(g: Graph, min_ms: int, limit: int) -> DataFrame:
@@ -52,16 +91,16 @@ def new_forums(g: Graph, min_ms: int, limit: int) -> DataFrame:
 
 def latest_likers(g: Graph, limit: int) -> DataFrame:
     """Everyone's latest likers with each one's latest like (``ic7`` for all)."""
-    sent = g.message.select(F.col("id").alias("message_id"), "is_post", F.col("creator_id").alias("reader"))
-    liked = g.likes.select("person_id", "message_id", "is_post", F.col("creation_ms").alias("like_ms")).join(sent, ["message_id", "is_post"])
+    sent = g.message_home.select(F.col("id").alias("message_id"), "is_post", F.col("creator_id").alias("reader")).dropDuplicates(["message_id", "is_post"])
+    likes = g.likes.select("person_id", "message_id", "is_post", F.col("creation_ms").alias("like_ms"))
+    liked = skew_join(likes, sent, ["message_id", "is_post"], HOT_SHARE).where("reader is not null")
     latest = arg_max(liked, ["reader", "person_id"], [desc("like_ms"), asc("message_id")])
     return first_of_each(latest, "reader", [desc("like_ms"), asc("person_id")], limit).select("reader", "person_id", "message_id", "like_ms", "rank")
 
 
 def latest_replies(g: Graph, limit: int) -> DataFrame:
     """Everyone's latest direct replies (``ic8`` for all)."""
-    own = lambda key: [F.col("creator_id").alias("person_id"), F.col("creation_ms").alias("comment_ms"), F.col("id").alias("comment_id"), key]
-    author = lambda rows, key: rows.select(F.col("id").alias(key), F.col("creator_id").alias("reader"))
-    to_posts = g.comment.where("reply_of_post is not null").select(*own("reply_of_post")).join(author(g.post, "reply_of_post"), "reply_of_post").drop("reply_of_post")
-    to_comments = g.comment.where("reply_of_post is null").select(*own("reply_of_comment")).join(author(g.comment, "reply_of_comment"), "reply_of_comment").drop("reply_of_comment")
-    return first_of_each(to_posts.unionByName(to_comments), "reader", [desc("comment_ms"), asc("comment_id")], limit)
+    answered = g.message_home.select(F.col("id").alias("parent_id"), F.col("is_post").alias("parent_is_post"), F.col("creator_id").alias("reader")).dropDuplicates(["parent_id", "parent_is_post"])
+    replies = g.replies.select(F.col("creator_id").alias("person_id"), F.col("creation_ms").alias("comment_ms"), F.col("id").alias("comment_id"), "parent_id", "parent_is_post")
+    rows = skew_join(replies, answered, ["parent_id", "parent_is_post"], HOT_SHARE).where("reader is not null").drop("parent_id", "parent_is_post")
+    return first_of_each(rows, "reader", [desc("comment_ms"), asc("comment_id")], limit)
