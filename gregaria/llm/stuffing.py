@@ -74,7 +74,8 @@ PAIR = re.compile(r"[{\[\s]*(?:[\w<>]+ ){0,3}?[\"']?([\w.$@-]+)[\"']?\s*(?::=|=>
 ENCLOSING = " \t{}[](),;\"'`"
 STRUNG = re.compile(r"[\w\s,;|/-]+")
 WORD = re.compile(r"[^\W\d_]+")
-SIGN = re.compile(r"[{}()\[\]=<>\\\"`~^&@%+]|\$(?!\d)|:|;(?=\S|$)|(?<!\d)\.(?=\w)|(?<=\w)_(?=\w)|(?<=[a-z])(?=[A-Z])|(?<=[^\W\d_])\d")
+SIGN = re.compile(r"[{}()\[\]=<>\\\"`~^&@%+:]|\$(?!\d)|;(?=\S|$)|\.(?=[^\W\d])|_(?=\w)|[A-Z](?<=[a-z][A-Z])|\d(?<=[^\W\d_]\d)")
+SURE_SIGN = re.compile(r"[{}(=]")  # of these, those that no wrapper, list or tag holds, to pass most lines of code by at once
 SEPARATOR = re.compile(r"[,;|/•·*、，；]|\s[-–—]\s")
 HASHTAGS = re.compile(r"(?:^|(?<=[\s\"']))(?:#[^\s#\"{}:;]*[^\W\d_][^\s#\"{}:;]*\s*)+(?![{:;])")
 DIRECTIVE = re.compile(r"\s*#\s*(?:end\w*|else|if\w*|define|include|pragma|undef|error|line|region)\b")
@@ -109,9 +110,14 @@ def _size(text: str) -> int:
     return len(text) - sum(map(text.count, " \n\t\r\ufeff"))
 
 
-def _bare(line: str, keys: Counter[str]) -> str:
+def _stripped(line: str) -> str:
+    """A line without the marks of lists, headings and comments around it."""
+    line = line.strip()
+    return LEAD.sub("", line) if line and (line[0] in "*>•+-/#\"'<\ufeff0123456789" or line[-1] in "/>\"'") else line
+
+
+def _bare(line: str, pair: re.Match | None, keys: Counter[str]) -> str:
     """A line without what encloses it; of a field only its value, if that is a list or stands under a key that recurs."""
-    pair = PAIR.match(line)
     value = (line[pair.end() :] if pair else line).strip(ENCLOSING)
     if pair and keys[pair[1]] < 8 and len(SEPARATOR.findall(value)) < 2:
         return line
@@ -147,14 +153,19 @@ def profile(text: str | None) -> tuple[float, ...]:
     """
     if not text or text.isspace():
         return 0.0, 0.0, 1.0, 0.0, 0.0, 0.0
-    lines = text.splitlines()
-    keys = Counter(m[1] for m in map(PAIR.match, lines) if m)
+    lines = [(line, PAIR.match(line)) for line in map(_stripped, text.splitlines()) if line]
+    keys = Counter(m[1] for _, m in lines if m)
     total = code = linked = text_letters = 0
     links = _Links()
     loose: list[tuple[int, list[str], float]] = []  # characters, words, least share of recurring words
     words: list[str] = []
     sentences: Counter[str] = Counter()
-    for line in lines:
+    for line, pair in lines:
+        if not pair and "#" not in line and "<" not in line and "//" not in line and len(SURE_SIGN.findall(line)) > MAX_SIGNS * len(line):
+            size = len(line) - line.count(" ") - line.count("\t")
+            total += size
+            code += size
+            continue
         found, data = [], 0
         if "://" in line or "www." in line:
             for m in URL.finditer(line):
@@ -167,7 +178,7 @@ def profile(text: str | None) -> tuple[float, ...]:
                 line = NAMED_LINK.sub(r" \1\2 ", line)
         if "<" in line:
             line = TAG.sub(" ", line)
-        line = LEAD.sub("", line)
+            line = line.strip()
         in_links = sum(len(m[0]) for m in found)
         own = _size(line)
         size = own + in_links
@@ -176,7 +187,7 @@ def profile(text: str | None) -> tuple[float, ...]:
         if not size:
             continue
         if not found:
-            bare = _bare(line, keys)
+            bare = _bare(line, pair, keys)
             if bare is not line:
                 rest = _size(bare)
                 code += own - rest
@@ -186,8 +197,12 @@ def profile(text: str | None) -> tuple[float, ...]:
             tagged = sum(len(m[0].strip()) for m in HASHTAGS.finditer(line))
             line = HASHTAGS.sub(lambda m: re.sub(r"[\W\d_]", " ", m[0]), line)
             tagged = tagged if tagged > 0.8 * own else 0
+        signs = len(SIGN.findall(line))
+        if not found and signs > MAX_SIGNS * len(line):
+            code += size
+            continue
         grams = _grams(line)
-        letters, signs = sum(map(len, grams)), len(SIGN.findall(line))
+        letters = sum(map(len, grams))
         functional = sum(map(FUNCTION_WORDS.__contains__, grams))
         script = 0 if line.isascii() else len("".join(FUNCTION_SIGNS.findall(line)))
         dense = bool(own) and (signs > MAX_SIGNS * letters or letters < MIN_LETTERS * own or line.find(";") == len(line) - 1)
