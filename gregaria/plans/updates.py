@@ -61,6 +61,12 @@ def _kept(g: Graph, rows: DataFrame) -> DataFrame:
     return scratch.write(rows, "rows")
 
 
+def _few(g: Graph, rows: DataFrame) -> Few:
+    """Rows of keys and numbers, as literals if there are few, else as a written table."""
+    few = Few.of(rows)
+    return few if few.table is not None else Few(_kept(g, rows), None)
+
+
 def _with(g: Graph, name: str, table: DataFrame, changes: DataFrame) -> Graph:
     """``g`` with another table; base tables replace what would be derived from them, but for derived tables that are held."""
     return Graph(g.spark, g.tables | {name: table}, g.changes | {name: changes}, g.origin, g._held)
@@ -78,30 +84,31 @@ def _append(g: Graph, name: str, rows: DataFrame) -> Graph:
     return _with(g, name, g.tables[name].unionByName(shaped), g.changes[name].unionByName(shaped) if name in g.changes else shaped)
 
 
-def _replace(g: Graph, name: str, rows: DataFrame) -> Graph:
-    """``rows``, at most one a key, in place of those of the same keys."""
+def _replace(g: Graph, name: str, few: Few) -> Graph:
+    """The rows of ``few``, at most one a key, in place of those of the same keys."""
     keys = REPLACED[name]
-    shaped = _shaped(name, rows)
-    touched = Few.of(shaped.select(*keys)).rows
+    shaped = _shaped(name, few.rows)
+    touched = shaped.select(*keys)
+    touched = touched if few.table is None else F.broadcast(touched)
     without = lambda table: table.join(touched, keys, "left_anti").unionByName(shaped)
     return _with(g, name, without(g.tables[name]), without(g.changes[name]) if name in g.changes else shaped)
 
 
-def _stored(g: Graph, name: str, keys: DataFrame) -> DataFrame:
-    """The rows of a table with the keys of ``keys``."""
+def _stored(g: Graph, name: str, few: Few) -> DataFrame:
+    """The rows of a table with the keys of ``few``."""
     on = REPLACED[name]
-    few = Few.of(keys.select(*on).distinct())
     first = CLUSTER[name] if CLUSTER[name] in on else on[0]
-    return semi(few.semi(g.tables[name], first, first), few.rows, on)
+    keys = few.rows.select(*on).distinct()
+    return semi(few.semi(g.tables[name], first, first), keys if few.table is None else F.broadcast(keys), on)
 
 
-def _upsert(g: Graph, name: str, rows: DataFrame, at: str) -> tuple[Graph, DataFrame]:
+def _upsert(g: Graph, name: str, rows: DataFrame, at: str) -> tuple[Graph, Few]:
     """The graph with ``rows`` that are newer than those of the same key, of several in the batch the latest, and those rows."""
     keys = REPLACED[name]
     columns = [part.split(" ", 1)[0] for part in BASE[name].split(", ")]
-    latest = _kept(g, arg_max(rows.select(*columns), keys, [F.col(at).desc()]))
+    latest = _few(g, arg_max(rows.select(*columns), keys, [F.col(at).desc()]))
     known = _stored(g, name, latest).groupBy(*keys).agg(F.max(at).alias("_known"))
-    newer = _kept(g, latest.join(known, keys, "left").where(f"_known is null or {at} > _known").drop("_known"))
+    newer = _few(g, latest.rows.join(known, keys, "left").where(f"_known is null or {at} > _known").drop("_known"))
     return _replace(g, name, newer), newer
 
 
@@ -147,8 +154,7 @@ def add_members(g: Graph, requests: DataFrame) -> Graph:
     out, newer = _upsert(g, "forum_member", rows.withColumnRenamed("creation_ms", "join_ms"), "join_ms")
     if "member_posts" not in g.tables:
         return out
-    members = Few.of(newer.select("forum_id", "person_id", "join_ms"))
-    return _replace(out, "member_posts", member_posts(members.rows, members.semi(g.post, "creator_id", "person_id")))
+    return _replace(out, "member_posts", _few(g, member_posts(newer.rows, newer.semi(g.post, "creator_id", "person_id"))))
 
 
 def add_posts(g: Graph, requests: DataFrame) -> Graph:
@@ -160,9 +166,9 @@ def add_posts(g: Graph, requests: DataFrame) -> Graph:
     out = _append(out, "message_root", new.select(F.col("id").alias("message_id"), F.lit(True).alias("is_post"), F.col("id").alias("post_id")))
     if "member_posts" not in g.tables:
         return out
-    more = rows.groupBy("forum_id", "person_id").agg(F.count(F.lit(1)).alias("more"))
-    raised = _stored(g, "member_posts", more).join(more, ["forum_id", "person_id"]).withColumn("posts", F.col("posts") + F.col("more"))
-    return _replace(out, "member_posts", _kept(g, raised.drop("more")))
+    more = _few(g, rows.groupBy("forum_id", "person_id").agg(F.count(F.lit(1)).alias("more")))
+    raised = _stored(g, "member_posts", more).join(more.rows, ["forum_id", "person_id"]).withColumn("posts", F.col("posts") + F.col("more"))
+    return _replace(out, "member_posts", _few(g, raised.drop("more")))
 
 
 def add_comments(g: Graph, requests: DataFrame) -> Graph:
@@ -195,11 +201,12 @@ def add_comments(g: Graph, requests: DataFrame) -> Graph:
         n_rows, n_mixed = rows.agg(F.count(F.lit(1)), F.count_if(anchored & F.col("kept"))).first()
         out = _append(out, "message_root", _new_roots(g, new, None if n_mixed else forest.nodes, n_rows))
     if "friends" in g.tables:
-        more = _kept(g, _weights(out, replies))
-        both = more.select(F.col("a").alias("p1"), F.col("b").alias("p2"), F.col("weight").alias("more"))
-        both = both.unionByName(more.where("a <> b").select(F.col("b").alias("p1"), F.col("a").alias("p2"), F.col("weight").alias("more")))
-        raised = _stored(g, "friends", both).join(both, ["p1", "p2"]).withColumn("weight", F.col("weight") + F.col("more"))
-        out = _replace(out, "friends", _kept(g, raised.drop("more")))
+        ends = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("p1"), F.col("b").alias("p2")))).otherwise(
+            F.array(F.struct(F.col("a").alias("p1"), F.col("b").alias("p2")), F.struct(F.col("b").alias("p1"), F.col("a").alias("p2")))
+        )
+        more = _few(g, _weights(out, replies).select(F.inline(ends), F.col("weight").alias("more")))
+        raised = _stored(g, "friends", more).join(more.rows, ["p1", "p2"]).withColumn("weight", F.col("weight") + F.col("more"))
+        out = _replace(out, "friends", _few(g, raised.drop("more")))
     return out
 
 
@@ -236,12 +243,12 @@ def add_friendships(g: Graph, requests: DataFrame) -> Graph:
     if "friends" not in g.tables:
         return out
     known = _stored(g, "friends", newer).select("p1", "p2", "weight")
-    rated = _kept(g, newer.join(known, ["p1", "p2"], "left"))
+    rated = _few(g, newer.rows.join(known, ["p1", "p2"], "left")).rows
     pairs = rated.where("weight is null").select(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")).distinct()
     people = Few.of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     weights = semi(_weights(g, direct_replies(people.semi(g.comment, "creator_id"))), pairs, ["a", "b"]).withColumnRenamed("weight", "found")
     rated = rated.withColumns({"a": F.least("p1", "p2"), "b": F.greatest("p1", "p2")}).join(weights, ["a", "b"], "left")
-    return _replace(out, "friends", _kept(g, rated.withColumn("weight", F.coalesce("weight", "found", F.lit(0.0)))))
+    return _replace(out, "friends", _few(g, rated.withColumn("weight", F.coalesce("weight", "found", F.lit(0.0))).drop("a", "b", "found")))
 
 
 STEPS = {
