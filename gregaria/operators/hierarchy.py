@@ -22,6 +22,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gregaria.operators.skew import skew_join
@@ -218,6 +219,56 @@ def _expand(removed: DataFrame, known: DataFrame, with_path: bool) -> DataFrame:
     return joined.select("tree", "node", F.coalesce("root", "parent").alias("root"), depth.alias("depth"), *([path.alias("path")] if with_path else []))
 
 
+def preorder(edges: DataFrame, **limits: int) -> Forest:
+    """``tree, node, root, enter, leave`` of every node of the trees, roots too: the descendants of a node are those entered between.
+
+    All descendants thus take one row a node, not one a pair. The tour that goes
+    down to a node's first child, on to its next sibling and up after the last is a
+    chain of two elements a node; its contraction (``resolve_forest``) gives each
+    its place. ``enter`` counts from 0 in each tree, ``leave - enter`` is twice the
+    number of descendants plus 1; children come in order of their ids. Nodes on or
+    below a circle get no row. ``edges`` are as for ``resolve_forest``; ids must
+    lie below 2^62. Children are ordered in ranges, so a parent may have any number.
+    """
+    scratch = Scratch(edges.sparkSession, "preorder")
+    single = edges.where("tree is not null and node is not null and parent is not null").groupBy("tree", "node").agg(F.max("parent").alias("parent"))
+    links = scratch.write(single, "links")
+    forest = resolve_forest(links, **limits)
+    sound = links.join(forest.nodes.where("depth > 0").select("tree", "node"), ["tree", "node"], "left_semi")
+    order = ["tree", "parent", "node"]
+    ranges = scratch.write(sound.select(*order).repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    ends = ranges.groupBy("range").agg(F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last")).orderBy("range").collect()  # a row a partition
+    kind = ranges.schema["tree"].dataType.simpleString()
+    around = [
+        (r["range"], tuple(ends[i + 1]["first"]) if i + 1 < len(ends) else None, tuple(ends[i - 1]["last"]) if i else None) for i, r in enumerate(ends)
+    ]
+    row = f"struct<tree:{kind},parent:bigint,node:bigint>"
+    around = F.broadcast(edges.sparkSession.createDataFrame(around, f"range int, following {row}, previous {row}"))
+    window = W.partitionBy("range").orderBy(*order)
+    beside = ranges.withColumns({"next": F.lead(F.struct(*order)).over(window), "before": F.lag(F.struct(*order)).over(window)}).join(around, "range", "left")
+    beside = beside.withColumns({"next": F.coalesce("next", "following"), "before": F.coalesce("before", "previous")})
+    same = lambda other: F.coalesce((F.col(f"{other}.tree") == F.col("tree")) & (F.col(f"{other}.parent") == F.col("parent")), F.lit(False))
+    beside = scratch.write(beside.select(*order, F.when(same("next"), F.col("next.node")).alias("sibling"), (~same("before")).alias("is_first")), "beside")
+    down, up = (lambda c: F.col(c) * 2), (lambda c: F.col(c) * 2 + 1)
+    leaves = beside.select("tree", "node").join(beside.where("is_first").select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
+    tour = [
+        beside.select("tree", up("node").alias("node"), F.coalesce(down("sibling"), up("parent")).alias("parent")),
+        beside.where("is_first").select("tree", down("parent").alias("node"), down("node").alias("parent")),
+        leaves.select("tree", down("node").alias("node"), up("node").alias("parent")),
+    ]
+    places = resolve_forest(reduce(DataFrame.unionByName, tour), **limits)
+    is_down = F.pmod("node", F.lit(2)) == 0
+    spans = (
+        places.nodes.groupBy("tree", F.shiftright("node", 1).alias("node"))
+        .agg(F.max("root").alias("root"), F.max(F.when(is_down, F.col("depth"))).alias("from_end"), F.coalesce(F.max(F.when(~is_down, F.col("depth"))), F.lit(0)).alias("after"))
+        .withColumn("root", F.shiftright("root", 1))
+    )
+    spans = scratch.write(spans, "spans")
+    whole = spans.where("node = root").select("tree", "root", F.col("from_end").alias("whole"))
+    placed = skew_join(spans, whole, ["tree", "root"], HOT_SHARE)
+    return Forest(placed.select("tree", "node", "root", (F.col("whole") - F.col("from_end")).alias("enter"), (F.col("whole") - F.col("after")).alias("leave")), scratch)
+
+
 def descendants(nodes: DataFrame) -> DataFrame:
     """``tree, ancestor, node, distance`` for every proper ancestor of every node, from resolved paths."""
     return nodes.where("path is not null").select(

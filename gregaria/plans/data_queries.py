@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gregaria.operators.hierarchy import descendants, resolve_forest
+from gregaria.operators.hierarchy import descendants, preorder, resolve_forest
 from gregaria.operators.packed import unpack_fields
 from gregaria.operators.references import broken_references, given, parent_intervals
 from gregaria.operators.skew import per_key, skew_join
@@ -148,4 +148,12 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_keys, p2_named, p4_found, p5_found, p5_rounds, p5_paths, p5_descendants)}
+def p5_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """The descendants of every node, roots too, as one interval a node: they are the nodes of its tree that are entered between ``enter`` and ``leave``."""
+    nodes = preorder(tree_links(spark, sf)).nodes
+    return nodes.select(
+        F.col("tree").alias("tree_name"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), F.col("enter").cast("bigint").alias("enter"), F.col("leave").cast("bigint").alias("leave")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_keys, p2_named, p4_found, p5_found, p5_rounds, p5_paths, p5_descendants, p5_intervals)}

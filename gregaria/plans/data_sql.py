@@ -96,4 +96,9 @@ SQL = {
         SELECT tree AS tree_name, split_part(path, '/', i::INT)::BIGINT AS node_id, node AS descendant_id, (depth + 1 - i)::BIGINT AS distance
         FROM (SELECT tree, node, depth, path, unnest(range(1, depth + 1)) AS i FROM walk)""",
 }
+SQL["p5_intervals"] = TREES + """,
+below AS (SELECT tree, root, split_part(path, '/', i::INT)::BIGINT AS node, count(*) AS n FROM (SELECT tree, root, path, unnest(range(1, depth + 1)) AS i FROM walk) GROUP BY ALL),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY tree, root ORDER BY string_split(path, '/')::BIGINT[]) - 1 AS k FROM walk WHERE root IN (SELECT parent FROM link) OR depth > 0)
+SELECT o.tree AS tree_name, o.node AS node_id, o.root AS root_id, (2 * k - depth)::BIGINT AS enter, (2 * k - depth + 2 * coalesce(n, 0) + 1)::BIGINT AS leave
+FROM ordered AS o LEFT JOIN below AS b ON b.tree = o.tree AND b.root = o.root AND b.node = o.node"""
 SQL["p5_rounds"] = SQL["p5_found"]

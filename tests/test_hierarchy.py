@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from gregaria.operators.hierarchy import contract_core, descendants, resolve_forest
+from gregaria.operators.hierarchy import contract_core, descendants, resolve_forest, preorder
 
 
 def brute(parent):
@@ -89,10 +89,46 @@ def test_workers_find_the_package_wherever_the_driver_runs(tmp_path):
     code = f"""
 import sys; sys.path.insert(0, {str(root)!r})
 from gregaria.session import local_session
-from gregaria.operators.hierarchy import resolve_forest
+from gregaria.operators.hierarchy import resolve_forest, preorder
 spark = local_session(2, "elsewhere")
 edges = spark.createDataFrame([("t", 1, 2)], "tree string, node bigint, parent bigint")
 print("ROWS", resolve_forest(edges).nodes.collect())
 """
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "ROWS [Row(tree='t', node=1, root=2, depth=1)]" in out.stdout, out.stderr[-2000:]
+
+
+def brute_intervals(edges):
+    parents = {}
+    for tree, node, parent in edges:
+        if None not in (tree, node, parent):
+            parents[tree, node] = max(parent, parents.get((tree, node), parent))
+    children = {}
+    for (tree, node), parent in parents.items():
+        children.setdefault((tree, parent), []).append(node)
+    out, clock = [], 0
+
+    def walk(tree, root, node):
+        nonlocal clock
+        enter, clock = clock, clock + 1
+        for child in sorted(children.get((tree, node), [])):
+            walk(tree, root, child)
+        out.append((tree, node, root, enter, clock))
+        clock += 1
+
+    for tree, parent in list(children):
+        if (tree, parent) not in parents:
+            clock = 0
+            walk(tree, parent, parent)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("core_rows", [0, 200_000])
+def test_intervals_as_by_brute_force(spark, core_rows):
+    r = random.Random(core_rows)
+    edges = [("a", i, r.choice([0] * 8 + list(range(i)))) for i in range(1, 120)] + [("b", i, i - 1) for i in range(-5, 40)]
+    edges += [("c", 1, 2), ("c", 2, 1), ("c", 3, 2), ("c", 4, 4), ("b", 100, 7), ("b", 100, 5), ("b", 100, 7), (None, 1, 2), ("a", None, 1), ("a", 500, None), ("d", -9, -3)]
+    df = spark.createDataFrame([(*e, "x") for e in edges], "tree string, node bigint, parent bigint, enter string").repartition(5)
+    found = sorted(tuple(x) for x in preorder(df, core_rows=core_rows).nodes.collect())
+    assert found == brute_intervals(edges)
+    assert preorder(df.limit(0)).nodes.count() == 0
