@@ -14,6 +14,7 @@ from gregaria.sources.tables import read_table
 
 HEAVY_SHARE = 1 / 40
 HOT_SHARE = 1 / 64
+CORE_ROWS = 5_000  # links that one task may end with: few enough for every size of the data to go through distributed rounds
 
 
 def records(rows: DataFrame, *columns: str) -> DataFrame:
@@ -126,7 +127,7 @@ def resolved_trees(spark: SparkSession, sf: str, with_path: bool = False, **limi
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return resolved_trees(spark, sf).select(F.col("tree").alias("tree_name"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").cast("bigint").alias("depth"))
+    return resolved_trees(spark, sf, core_rows=CORE_ROWS).select(F.col("tree").alias("tree_name"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").cast("bigint").alias("depth"))
 
 
 def p5_rounds(spark: SparkSession, sf: str) -> DataFrame:
