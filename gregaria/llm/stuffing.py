@@ -230,7 +230,7 @@ def profile(text: str | None) -> tuple[float, ...]:
     # a sentence counts once here, however often it is repeated: what recurs in different ones is a keyword
     content = Counter(w for grams in (words, *(grams for *_, grams in said)) for w in grams if w not in FUNCTION_WORDS)
     n = content.total()
-    some, often, heavy = ({w for w, c in content.items() if c >= max(least, share * n)} for least, share in ((2, SOME), (3, OFTEN), (3, HEAVY)))
+    some, often, heavy = ({w for w, c in content.items() if c >= max(least, share * n)} for least, share in ((2, SOME), (3, OFTEN), (4, HEAVY)))
     strung = sum(size for size, grams, least in loose if sum(map(some.__contains__, grams)) >= least * len(grams))
     again = sum(len(w) for w in words if w in often)
     n_words, functional, prose = len(words), sum(map(FUNCTION_WORDS.__contains__, words)), 0
