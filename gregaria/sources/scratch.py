@@ -9,6 +9,7 @@ are pruned on the way back, and its footers give row counts without a scan.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,16 @@ class Scratch:
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Has Spark remove the shuffle files of plans that are no longer held, else they stay until the driver happens to collect its garbage."""
+        gc.collect()
+        try:
+            self.spark._jsc.sc().listenerBus().waitUntilEmpty()  # its events hold the plans that ended
+        except Exception:  # others keep it busy: what their plans hold stays for now
+            pass
+        for _ in range(2):
+            self.spark._jvm.System.gc()
+
     def drop(self, name: str | None = None) -> None:
         """Removes one table, or all of them for good."""
         if name is None:

@@ -59,6 +59,41 @@ def test_circles(world, hops):
     assert sorted(found) == sorted((reader, i) for reader in range(40) for i in circle(pairs, reader, hops))
 
 
+@pytest.mark.parametrize(("limit", "wrote"), [(1, 0.1), (3, 0.2), (50, 0.9)])
+def test_new_forums(world, limit, wrote):
+    g, pairs, *_ = world
+    r = random.Random(limit)
+    members = {(r.choice([*range(60), None]), p): (r.randrange(10), r.randrange(1, 4) * (r.random() < wrote)) for p in range(40) for _ in range(p % 9)}
+    tables = {**g.tables, "member_posts": g.spark.createDataFrame([(f, p, *x) for (f, p), x in members.items()], "forum_id bigint, person_id bigint, join_ms bigint, posts bigint")}
+    expected = set()
+    for reader in range(40):
+        far, counts = circle(pairs, reader, 2), {}
+        for (forum, p), (t, posts) in members.items():
+            if p in far and t > 2:
+                counts[forum] = counts.get(forum, 0) + posts
+        first = sorted(counts.items(), key=lambda x: (-x[1], x[0] is None, x[0] or 0))[:limit]
+        expected |= {(reader, forum, n, rank) for rank, (forum, n) in enumerate(first, 1)}
+    found = [tuple(x) for x in b.new_forums(Graph(g.spark, tables), 2, limit).select("reader", "forum_id", "post_count", "rank").collect()]
+    assert len(found) == len(expected) and set(found) == expected
+
+
+def test_new_forums_makes_no_pairs_with_members_who_wrote_nothing(spark):
+    r, people = random.Random(3), 200
+    pairs = {tuple(sorted(r.sample(range(people), 2))) for _ in range(people * 8)}
+    knows = spark.createDataFrame([(a, c, 0) for p in pairs for a, c in (p, p[::-1])], BASE["knows"])
+    members = spark.createDataFrame([(r.randrange(2000), p, 1, 0) for p in range(people) for _ in range(20)], "forum_id bigint, person_id bigint, join_ms bigint, posts bigint").dropDuplicates(["forum_id", "person_id"])
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(stage.shuffleWriteRecords() for stage in (stages.apply(i) for stages in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)] for i in range(stages.size())))
+
+    before = shuffled()
+    rows = b.new_forums(Graph(spark, {name: spark.createDataFrame([], spec) for name, spec in BASE.items()} | {"knows": knows, "member_posts": members}), 0, 2).count()
+    assert rows == 2 * people
+    assert shuffled() - before < 60_000  # 339,397 when all pairs met the forums of their members
+
+
 def test_likers_and_replies(world):
     g, _, posts, comments, likes = world
     home = {(i, True): c for i, c, _ in posts} | {(i, False): c for i, c, *_ in comments}
